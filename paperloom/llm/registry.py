@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and name fields with a value that isn't in the consistent form."""
+    from paperloom.llm import confusables
+
+    return confusables.found(table(spark, sf_dir, "invoice_extractions_ml"))
+
+
+def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the name fields beside its consistent form."""
+    from paperloom.llm import confusables
+
+    return confusables.normalized(table(spark, sf_dir, "invoice_extractions_ml"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     from paperloom.llm import bpe
@@ -35,7 +49,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs")))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_normalized, p6_ids, p6_roundtrip, p7_containers, p7_fill)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
