@@ -49,7 +49,21 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_normalized, p6_ids, p6_roundtrip, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with wrongly decoded text."""
+    from paperloom.llm import mojibake
+
+    return mojibake.found(table(spark, sf_dir, "documents"))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored text of each of them, the encoding pairs undone, and whether all of it came back."""
+    from paperloom.llm import mojibake
+
+    return mojibake.repaired(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_normalized, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
