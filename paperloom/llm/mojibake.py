@@ -31,7 +31,7 @@ from paperloom.llm.common import spread
 #: (real encoding, wrong encoding) of each pair that has a state; "utf-8*2" was garbled so twice.
 PAIRS = [
     ("utf-8*2", "cp1252"), ("utf-8*2", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "iso8859-15"), ("utf-8", "cp1250"), ("utf-8", "iso8859-2"),
-    ("utf-8", "cp1251"), ("utf-8", "koi8-r"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"),
+    ("utf-8", "cp1251"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"),
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "cp1250"),
     ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"),
 ]
@@ -173,10 +173,12 @@ def utf8_units(m: Marks, real: str, wrong: str) -> tuple[np.ndarray, np.ndarray,
 
 
 def plausible(m: Marks) -> np.ndarray:
-    """Marks outside any unit that would be valid UTF-8: ordinary text has hardly any, garbled text many."""
+    """Marks outside any unit that would be a Latin letter or common sign in UTF-8: ordinary text has hardly any."""
     keep = m.cp != 0xFFFD
     for wrong in {w for r, w in PAIRS if r == "utf-8"}:
-        lead, size, _ = utf8_units(m, "utf-8", wrong)
+        lead, size, code = utf8_units(m, "utf-8", wrong)
+        likely = (code >= 0xA0) & (code < 0x250) | (code >= 0x2010) & (code < 0x20C0)
+        lead, size = lead[likely], size[likely]
         for j in range(size.max(initial=0)):
             keep[lead[size > j] + j] = False
     return keep
