@@ -21,6 +21,20 @@ def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.normalized(table(spark, sf_dir, "invoice_extractions_ml"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation document with the same page."""
+    from paperloom.llm import overlap
+
+    return overlap.found(table(spark, sf_dir, "gold_dataset"), table(spark, sf_dir, "raw_documents"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping documents per evaluation split and source."""
+    from paperloom.llm import overlap
+
+    return overlap.report(table(spark, sf_dir, "gold_dataset"), table(spark, sf_dir, "raw_documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     from paperloom.llm import bpe
@@ -63,7 +77,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_normalized, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
