@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    from paperloom.llm import names
+
+    return names.found(table(spark, sf_dir, "invoice_extractions_ml"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each readable spelling and its entity."""
+    from paperloom.llm import names
+
+    return names.entities(table(spark, sf_dir, "invoice_extractions_ml"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and name fields with a value that isn't in the consistent form."""
     from paperloom.llm import confusables
@@ -77,7 +91,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
