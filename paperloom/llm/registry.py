@@ -21,6 +21,20 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.entities(table(spark, sf_dir, "invoice_extractions_ml"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of noise in each captured document."""
+    from paperloom.llm import scans
+
+    return scans.found(table(spark, sf_dir, "raw_documents"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of each captured document."""
+    from paperloom.llm import scans
+
+    return scans.repaired(table(spark, sf_dir, "raw_documents").select("doc_id", "raw_text").distinct())
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and name fields with a value that isn't in the consistent form."""
     from paperloom.llm import confusables
@@ -91,7 +105,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_repaired, p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
