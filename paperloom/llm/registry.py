@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different item of personal information in each captured document."""
+    from paperloom.llm import pii
+
+    return pii.found(table(spark, sf_dir, "raw_documents"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each captured document with placeholders for personal information."""
+    from paperloom.llm import pii
+
+    return pii.redacted(table(spark, sf_dir, "raw_documents").select("doc_id", "raw_text").distinct())
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of spellings of one person or organisation."""
     from paperloom.llm import names
@@ -105,7 +119,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p3_found, p3_repaired, p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_entities, p3_found, p3_repaired, p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
