@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What Python's str.splitlines takes as line ends.
-EOL = "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085  ]"
+EOL = "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]"
 
 # The stop words of the fallback tokeniser.
 STOPWORDS = (
@@ -84,7 +84,7 @@ def token_count(text: Column) -> Column:
 
 def clean_text(raw: Column) -> Column:
     """Lower-case tokens without stop words, long repetitions shortened to two characters."""
-    t = F.lower(F.regexp_replace(empty(raw), "[ ​  ]", " "))
+    t = F.lower(F.regexp_replace(empty(raw), "[\u00a0\u200b\u2028\u2029]", " "))
     t = F.regexp_replace(F.regexp_replace(t, "\n+", " "), "[ \t]+", " ")
     t = F.regexp_replace(t, r"(.)\1{4,}", "$1$1")
     keep = lambda x: ~x.isin(STOPWORDS) & x.rlike("[a-z0-9$€£¥]")
