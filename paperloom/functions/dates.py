@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import let
+
 # Fixed values.
 MONTHS = "january february march april may june july august september october november december".split()
 _MONTH_RE = "(" + "|".join(MONTHS + ["jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]) + ")"
@@ -44,12 +46,15 @@ _NUM_B = r"(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})"
 def parse_named(c: Column) -> Column:
     """First numeric date, else a month name with the first short number and the first four-digit year."""
     s = F.substring(F.trim(c), 1, 50)
-    s = F.regexp_replace(s, r"(?U)\s+[a-zA-Z]\s+(?=\d{4})", " ")
+    return let(F.regexp_replace(s, r"(?U)\s+[a-zA-Z]\s+(?=\d{4})", " "), _parse_named)
+
+
+def _parse_named(s: Column) -> Column:
     either = rf"{_NUM_A}|{_NUM_B}"
     group = lambda i: F.regexp_extract(s, either, i)
     first = group(1) != ""
     numeric = F.when(
-        s.rlike(either),
+        s.rlike(either),  # no group is read otherwise
         parse_numeric(
             F.when(first, group(1)).otherwise(group(4)),
             F.when(first, group(2)).otherwise(group(5)),
@@ -70,7 +75,10 @@ def _to_iso(c: Column, *formats: str) -> Column:
 
 def parse_baseline(c: Column) -> Column:
     """Month before day, years 1960 to 2005 only; numeric parts above 31 are rejected."""
-    s = F.trim(F.regexp_replace(c, r"(?U)\s+[a-zA-Z]\s+(?=\d{2,4})", " "))
+    return let(F.trim(F.regexp_replace(c, r"(?U)\s+[a-zA-Z]\s+(?=\d{2,4})", " ")), _parse_baseline)
+
+
+def _parse_baseline(s: Column) -> Column:
     num = lambda i: F.regexp_extract(s, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})", i).try_cast("int")
     a, b, y = num(1), num(2), num(3)
     full = F.when(y >= 100, y).when(y < 70, 2000 + y).otherwise(1900 + y)
@@ -79,8 +87,8 @@ def parse_baseline(c: Column) -> Column:
     part = lambda i: F.regexp_extract(s, r"(?i)^[a-z]+\s+(\d{1,2}),?\s+(\d{4})$", i).try_cast("int")
     named = F.when(month != "", _ymd(part(2), _month_number(month), part(1)))
     parsed = F.when(a.isNotNull(), F.when((a <= 31) & (b <= 31), numeric)).otherwise(named)
-    ok = F.try_to_date(parsed, "yyyy-MM-dd").isNotNull() & F.substring(parsed, 1, 4).cast("int").between(1960, 2005)
-    return F.when(ok, parsed)
+    real = lambda d: F.try_to_date(d, "yyyy-MM-dd").isNotNull() & F.substring(d, 1, 4).cast("int").between(1960, 2005)
+    return let(parsed, lambda d: F.when(real(d), d))
 
 
 # The date forms of the line extractor, and formats in the order they are tried.

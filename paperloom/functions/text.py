@@ -6,6 +6,8 @@ that return text keep null; counts, ratios and flags treat null as the empty str
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ CONTEXT_FLAGS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    Common subexpressions within CASE branches aren't eliminated by the engine; a lambda variable is.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def empty(c: Column) -> Column:
     """Null as the empty string."""
     return F.coalesce(c, F.lit(""))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import count_of, flag, has
+from paperloom.functions.text import count_of, flag, has, let
 
 
 def extract(text: Column, pattern: str, group: int = 1, flags: str = "iU") -> Column:
@@ -20,7 +20,7 @@ def extract(text: Column, pattern: str, group: int = 1, flags: str = "iU") -> Co
 
 def first_match(text: Column, patterns: Sequence[str], then: Callable[[Column], Column] = lambda x: x, flags: str = "iU") -> Column:
     """First pattern, in order, whose first match survives ``then`` (null rejects it)."""
-    return F.coalesce(*[then(extract(text, p, 1, flags)) for p in patterns])
+    return F.coalesce(*[let(extract(text, p, 1, flags), then) for p in patterns])
 
 
 def first_matching(text: Column, patterns: Sequence[str], then: Callable[[Column], Column]) -> Column:
@@ -66,7 +66,7 @@ def best_line(items: Column, score: Callable[[Column, Column], Column], least: i
     """
     scored = F.transform(items, lambda x: F.struct(score(x["i"], x["line"]).alias("s"), (-x["i"]).alias("o"), x["line"].alias("line")))
     best = F.array_max(F.filter(scored, lambda x: x["s"].isNotNull()))
-    return F.when(best["s"] >= least, value(best["line"]))
+    return let(best, lambda b: F.when(b["s"] >= least, value(b["line"])))
 
 
 def block_after(lines: Column, label: str, size: int, stop: str, whole: bool = False) -> Column:
@@ -87,5 +87,5 @@ def block_after(lines: Column, label: str, size: int, stop: str, whole: bool = F
 
 def _take_while(items: Column, keep: Callable[[Column], Column]) -> Column:
     stops = F.transform(items, lambda x, i: F.when(~keep(x), i))
-    first = F.array_min(F.filter(stops, lambda x: x.isNotNull()))
-    return F.when(first.isNull(), items).otherwise(F.slice(items, F.lit(1), F.coalesce(first, F.lit(0))))
+    first = F.coalesce(F.array_min(F.filter(stops, lambda x: x.isNotNull())), F.lit(1 << 30))
+    return F.slice(items, F.lit(1), first)
