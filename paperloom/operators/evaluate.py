@@ -85,25 +85,34 @@ def confusion(df: DataFrame, classes: Sequence[str], label: str = "label", predi
     return wide.select("true_class", each.alias("x")).select("true_class", "x.*")
 
 
+def _by_class(matrix: DataFrame) -> DataFrame:
+    """(class, support, predicted, tp, p, r, f): each cell of the matrix counts for its row and for its column."""
+    hit = F.when(F.col("true_class") == F.col("predicted_class"), F.col("n")).otherwise(0)
+    sides = F.explode(
+        F.array(
+            F.struct(F.col("true_class").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), hit.alias("tp")),
+            F.struct(F.col("predicted_class").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")),
+        )
+    )
+    sums = matrix.select(sides.alias("x")).select("x.*").groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    sums = sums.withColumns({"p": ratio(F.col("tp"), F.col("predicted")), "r": ratio(F.col("tp"), F.col("support"))})
+    return sums.withColumn("f", ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
+
+
 def class_metrics(matrix: DataFrame) -> DataFrame:
     """(class, support, precision, recall, f1) from a confusion matrix; no prediction or no support gives 0."""
-    true = matrix.groupBy(F.col("true_class").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true_class") == F.col("predicted_class"), F.col("n")).otherwise(0)).alias("tp"))
-    pred = matrix.groupBy(F.col("predicted_class").alias("class")).agg(F.sum("n").alias("predicted"))
-    p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
-    r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    f1 = F.when(F.col("_p") + F.col("_r") > 0, 2 * F.col("_p") * F.col("_r") / (F.col("_p") + F.col("_r"))).otherwise(0.0)
-    return (
-        true.join(pred, "class").withColumns({"_p": p, "_r": r})
-        .select("class", "support", F.round("_p", 4).alias("precision"), F.round("_r", 4).alias("recall"), F.round(f1, 4).alias("f1"))
-    )
+    rounded = [F.round(c, 4).alias(name) for c, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))]
+    return _by_class(matrix).select("class", "support", *rounded)
 
 
 def averages(matrix: DataFrame) -> DataFrame:
     """(accuracy, macro_f1, weighted_f1) of a confusion matrix."""
-    m = class_metrics(matrix)
-    hits = matrix.agg((F.sum(F.when(F.col("true_class") == F.col("predicted_class"), F.col("n")).otherwise(0)) / F.sum("n")).alias("a"))
-    f = m.agg(F.avg("f1").alias("m"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("w"))
-    return hits.crossJoin(f).select(F.round("a", 4).alias("accuracy"), F.round("m", 4).alias("macro_f1"), F.round("w", 4).alias("weighted_f1"))
+    return _by_class(matrix).agg(
+        F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
+        F.round(F.avg("f"), 4).alias("macro_f1"),
+        F.round(F.sum(F.col("f") * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"),
+    )
 
 
 def confusion_pairs(df: DataFrame, n: int = 10, label: str = "label", predicted: str = "predicted_class") -> DataFrame:
