@@ -77,10 +77,11 @@ def coverage(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def confusion(df: DataFrame, classes: Sequence[str], label: str = "label", predicted: str = "predicted_class") -> DataFrame:
     """(true_class, predicted_class, n) over the full grid of classes (a few rows, made without a join)."""
-    known = df.filter(F.col(label).isin(list(classes)) & F.col(predicted).isin(list(classes)))
-    row = known.groupBy(label).pivot(predicted, list(classes)).count()
+    # Counted first, so that whatever computes the prediction runs once and only counts move.
+    counts = df.groupBy(F.col(label).alias("_t"), F.col(predicted).alias("_p")).agg(F.count("*").alias("n"))
+    row = counts.groupBy("_t").agg(*[F.sum(F.when(F.col("_p") == c, F.col("n"))).alias(c) for c in classes])
     grid = df.sparkSession.createDataFrame([(c,) for c in classes], "true_class string")
-    wide = grid.join(F.broadcast(row), grid["true_class"] == row[label], "left")
+    wide = grid.join(F.broadcast(row), grid["true_class"] == row["_t"], "left")  # a row a class
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("predicted_class"), F.coalesce(F.col(c), F.lit(0)).alias("n")) for c in classes]))
     return wide.select("true_class", each.alias("x")).select("true_class", "x.*")
 
@@ -117,8 +118,8 @@ def averages(matrix: DataFrame) -> DataFrame:
 
 def confusion_pairs(df: DataFrame, n: int = 10, label: str = "label", predicted: str = "predicted_class") -> DataFrame:
     """The ``n`` most frequent mistakes."""
-    wrong = df.filter(F.col(label) != F.col(predicted)).groupBy(F.col(label).alias("true_class"), F.col(predicted).alias("predicted_class"))
-    return wrong.agg(F.count("*").alias("n")).orderBy(F.desc("n"), "true_class", "predicted_class").limit(n)
+    counts = df.groupBy(F.col(label).alias("true_class"), F.col(predicted).alias("predicted_class")).agg(F.count("*").alias("n"))
+    return counts.filter("true_class <> predicted_class").orderBy(F.desc("n"), "true_class", "predicted_class").limit(n)
 
 
 def doc_top1(df: DataFrame, score: str, gold: str, group: str = "doc_id", order: str = "line_idx") -> DataFrame:
