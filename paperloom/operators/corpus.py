@@ -49,14 +49,30 @@ def hash_key(*parts: Column) -> Column:
 
 def ranked(df: DataFrame, group: list[str], seed: int, key: str = "doc_id", name: str = "rank") -> DataFrame:
     """Adds the rank, from 0, within ``group`` in the order of a seeded hash of ``key``, and the group's size."""
-    df = df.withColumn("_h", hash_key(F.lit(str(seed)), F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 2))
+    h = hash_key(F.lit(str(seed)), F.col(key).cast("string"))
+    df = df.withColumn("_h", h)
+    return running_index(df, group, ["_h", key], F.substring("_h", 1, 2), name).drop("_h")
+
+
+def running_index(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:
+    """Adds the position, from 0, within ``group`` in the given order, and ``group_size``.
+
+    ``bucket`` is a prefix of the order (equal order keys share it, and buckets sort as the order does): buckets are
+    counted first, and only rows of one bucket are sorted together. Null groups are groups.
+    """
+    df = df.withColumn("_b", bucket)
     counts = df.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*group)
-    before = counts.withColumn("_before", F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).withColumn("group_size", F.sum("_n").over(w)).drop("_n")
-    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(before[c]) for c in [*group, "_b"]])
-    joined = df.join(before, on).select(*[df[c] for c in df.columns], before["_before"], before["group_size"])
-    within = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key)) - 1
-    return joined.withColumn(name, F.col("_before") + within).drop("_h", "_b", "_before")
+    renamed = {c: f"_g_{c}" for c in [*group, "_b"]}
+    before = (
+        counts.withColumn("_before", F.sum("_n").over(w.orderBy("_b")) - F.col("_n"))
+        .withColumn("group_size", F.sum("_n").over(w))
+        .drop("_n")
+        .withColumnsRenamed(renamed)
+    )
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(g)) for c, g in renamed.items()])
+    within = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order)) - 1
+    return df.join(before, on).withColumn(name, F.col("_before") + within).drop("_b", "_before", *renamed.values())
 
 
 def stratified_split(df: DataFrame, label: str = "label", seed: int = 42, key: str = "doc_id", train: float = 0.70, val: float = 0.15) -> DataFrame:

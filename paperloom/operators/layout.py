@@ -39,7 +39,7 @@ def to_lines(w: DataFrame, key: str = "file_stem") -> DataFrame:
         F.min("top").alias("top"),
         F.max(F.col("left") + F.col("width")).alias("right"),
         F.max(F.col("top") + F.col("height")).alias("bottom"),
-        F.round(F.avg("conf"), 4).alias("conf"),
+        F.avg("conf").alias("conf"),
     )
     return lines.withColumns({"width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top")})
 
