@@ -101,17 +101,23 @@ def clean_text(raw: Column) -> Column:
     return F.array_join(F.filter(words(t), keep), " ")
 
 
+def count_chars(c: Column, pattern: str) -> Column:
+    """Number of characters of a class, from the length that is left without them; 0 for null."""
+    t = empty(c)
+    return F.length(t) - F.length(F.regexp_replace(t, f"(?:{pattern})+", ""))
+
+
 def digits(c: Column) -> Column:
-    return count_of(c, r"\p{Nd}")
+    return count_chars(c, r"\p{Nd}")
 
 
 def letters(c: Column) -> Column:
-    return count_of(c, r"\p{L}")
+    return count_chars(c, r"\p{L}")
 
 
 def uppercase_ratio(c: Column) -> Column:
     n = letters(c)
-    return F.when(n == 0, 0.0).otherwise(F.round(count_of(c, r"\p{Lu}") / n, 4))
+    return F.when(n == 0, 0.0).otherwise(F.round(count_chars(c, r"\p{Lu}") / n, 4))
 
 
 def digit_ratio(c: Column) -> Column:

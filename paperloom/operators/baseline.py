@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import amounts, dates
-from paperloom.functions.text import EOL, clean_name, count_of, digits, empty, has, is_upper, let, lines, strip, token_count
+from paperloom.functions.text import EOL, clean_name, count_chars, count_of, digits, empty, has, is_upper, let, lines, strip, token_count
 from paperloom.operators import patterns as P
 from paperloom.operators.rules import any_of, best_line, block_after, extract, first_match, first_matching, indexed
 
@@ -101,13 +101,12 @@ def total_amount(text_lines: Column) -> Column:
             + _points(i >= F.floor(n * 0.5), 1)
             - _points(count_of(x, r"\.") > 8, 2)
         )
-        raw = F.filter(F.regexp_extract_all(x, F.lit(f"(?U){P.AMOUNT}"), F.lit(1)), lambda a: a.contains(".") | totalish)
-        return F.transform(
-            F.filter(F.transform(raw, amounts.normalise), lambda a: a.isNotNull()),
-            lambda a: F.struct(score.alias("s"), a.cast("double").alias("v"), a.alias("a")),
-        )
+        raw = F.filter(F.regexp_extract_all(x, F.lit(P.AMOUNT), F.lit(1)), lambda a: a.contains(".") | totalish)
+        top = F.array_max(F.filter(F.transform(raw, amounts.value), lambda v: v > 0))
+        # Of one line only the greatest amount can win.
+        return F.when(x.rlike(r"\d"), let(top, lambda v: F.when(v.isNotNull(), F.struct(score.alias("s"), v.alias("v")))))
 
-    return let(F.array_max(F.flatten(F.transform(text_lines, of_line))), lambda b: F.when(b["s"] >= 2, b["a"]))
+    return let(F.array_max(F.transform(text_lines, of_line)), lambda b: F.when(b["s"] >= 2, amounts.plain(b["v"])))
 
 
 def ocr_quality(text: Column) -> Column:
@@ -116,13 +115,13 @@ def ocr_quality(text: Column) -> Column:
     n = F.length(t)
     ls = lines(text)
     mean = F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)) / F.size(ls)
-    share = lambda p: count_of(t, p) / n
+    share = lambda p: count_chars(t, p) / n
     score = (
         F.lit(1.0)
         - F.when(share(r"\p{L}") < 0.45, 0.25).otherwise(0.0)
         - F.when(share(r"\s") < 0.08, 0.15).otherwise(0.0)
         - F.when(mean < 12, 0.15).otherwise(0.0)
-        - F.when(F.regexp_count(t, F.lit(r"[^A-Za-z0-9\s.,:/\-&()$#]")) / n > 0.08, 0.20).otherwise(0.0)
+        - F.when(share(r"[^A-Za-z0-9\s.,:/\-&()$#]") > 0.08, 0.20).otherwise(0.0)
         - F.when(share(r"\p{Nd}") > 0.35, 0.10).otherwise(0.0)
     )
     return F.when(F.trim(F.regexp_replace(t, r"\s+", " ")) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.round(score, 2)))

@@ -31,7 +31,7 @@ def words(boxes: DataFrame, key: str = "file_stem", left: str = "left_px", top:
 
 
 def to_lines(w: DataFrame, key: str = "file_stem") -> DataFrame:
-    """One row a line: text in reading order, outline, mean confidence."""
+    """One row a line: text in reading order, outline, mean confidence (summed exactly, so that order doesn't matter)."""
     items = F.array_sort(F.collect_list(F.struct("left", "word_num", "text")))
     lines = w.groupBy(key, *LINE_KEY).agg(
         F.array_join(F.transform(items, lambda x: F.trim(x["text"])), " ").alias("text"),
@@ -39,7 +39,7 @@ def to_lines(w: DataFrame, key: str = "file_stem") -> DataFrame:
         F.min("top").alias("top"),
         F.max(F.col("left") + F.col("width")).alias("right"),
         F.max(F.col("top") + F.col("height")).alias("bottom"),
-        F.avg("conf").alias("conf"),
+        (F.sum(F.col("conf").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("conf"),
     )
     return lines.withColumns({"width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top")})
 

@@ -89,12 +89,11 @@ def _money(ls: Column, rules: list[tuple[str, int]]) -> Column:
 
     def of_line(x: Column, i: Column) -> Column:
         score = weighted_presence(F.lower(x), rules) + F.when(i >= F.floor(n * 0.5), 1).otherwise(0)
-        found = F.transform(F.regexp_extract_all(x, F.lit(f"(?U){P.AMOUNT}"), F.lit(1)), amounts.normalise)
-        return F.transform(
-            F.filter(found, lambda a: a.isNotNull()), lambda a: F.struct(score.alias("s"), a.cast("double").alias("v"), a.alias("a"))
-        )
+        found = F.transform(F.regexp_extract_all(x, F.lit(P.AMOUNT), F.lit(1)), amounts.value)
+        top = F.array_max(F.filter(found, lambda v: v > 0))
+        return F.when(x.rlike(r"\d"), let(top, lambda v: F.when(v.isNotNull(), F.struct(score.alias("s"), v.alias("v")))))
 
-    return let(F.array_max(F.flatten(F.transform(ls, of_line))), lambda b: F.when(b["s"] >= 2, b["a"]))
+    return let(F.array_max(F.transform(ls, of_line)), lambda b: F.when(b["s"] >= 2, amounts.plain(b["v"])))
 
 
 def extract_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:

@@ -18,7 +18,7 @@ _WORDS = (
 )
 _LINES = (
     "SELECT file_stem, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY l, word_num, text) AS text, min(l) AS \"left\", min(t) AS top, max(l + w) AS \"right\", max(t + h) AS bottom, "
-    f"floor(avg(conf) * 1000) / 1000 AS conf FROM {_WORDS} GROUP BY ALL"
+    f"CAST(sum(CAST(conf AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS conf FROM {_WORDS} GROUP BY ALL"
 )
 
 
@@ -28,7 +28,7 @@ def lines(spark, d):
 
 @query(f"SELECT * FROM ({_LINES})")
 def words_to_lines(spark, d):
-    return lines(spark, d).drop("width", "height").withColumn("conf", F.floor(F.col("conf") * 1000) / 1000)
+    return lines(spark, d).drop("width", "height")
 
 
 _ZONED = (
@@ -136,12 +136,12 @@ def box_iou(spark, d):
     return pair.groupBy("file_stem").agg(F.round(F.avg(boxes.iou(word, line)), 6).alias("mean_iou"), F.count("*").alias("words"))
 
 
-@query("SELECT batch_id, count(*) AS words, floor(avg(coalesce(conf, -1.0)) * 1000) / 1000 AS mean_conf, CAST(sum(CAST(coalesce(conf, -1.0) < 50 AS INT)) AS BIGINT) AS doubtful FROM (SELECT DISTINCT * FROM ocr_word_boxes) WHERE trim(coalesce(text, '')) <> '' GROUP BY 1")
+@query("SELECT batch_id, count(*) AS words, CAST(sum(CAST(coalesce(conf, -1.0) AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean_conf, CAST(sum(CAST(coalesce(conf, -1.0) < 50 AS INT)) AS BIGINT) AS doubtful FROM (SELECT DISTINCT * FROM ocr_word_boxes) WHERE trim(coalesce(text, '')) <> '' GROUP BY 1")
 def batch_confidence(spark, d):
     """Recognition quality by scan batch; partial sums make a batch with a tenth of the rows harmless."""
     w = table(spark, d, "ocr_word_boxes").distinct().filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     conf = F.coalesce("conf", F.lit(-1.0))
-    return w.groupBy("batch_id").agg(F.count("*").alias("words"), (F.floor(F.avg(conf) * 1000) / 1000).alias("mean_conf"), F.sum((conf < 50).cast("int")).alias("doubtful"))
+    return w.groupBy("batch_id").agg(F.count("*").alias("words"), (F.sum(conf.cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean_conf"), F.sum((conf < 50).cast("int")).alias("doubtful"))
 
 
 @query()
