@@ -33,7 +33,7 @@ _PRED = (
     "SELECT doc_id, r.recipient_name, r.invoice_number, r.total_amount FROM (SELECT doc_id, arg_max({'recipient_name': recipient_name, 'invoice_number': invoice_number, 'total_amount': total_amount}, "
     "{'t': run_ts, 'a': coalesce(recipient_name, ''), 'b': coalesce(invoice_number, ''), 'c': coalesce(total_amount, '')}) AS r FROM (SELECT DISTINCT * FROM invoice_extractions_ml) GROUP BY doc_id)"
 )
-_KEY = r"lower(regexp_replace(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
+_KEY = r"lower(regexp_replace(regexp_replace(coalesce({0}, ''), '[\s\p{{Z}}]+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
 _G, _P = _KEY.format("g"), _KEY.format("p")
 _NUM = r"TRY_CAST(regexp_replace({0}, '[^0-9.]', '', 'g') AS DOUBLE)"
 _CORRECT = (
