@@ -382,26 +382,33 @@ def repair(text: str, corrector: Corrector, with_text: bool = True) -> tuple[str
     lines, drop, has_number, has_header = furniture(text)
     kinds = []
     body: list[str] = []
+    at_break = False
     for i, line in enumerate(lines):
         if i in drop or line == "\f":
+            # Blank lines beside furniture come from the page break.
+            while body and not body[-1]:
+                body.pop()
+            at_break = True
             continue
-        # A blank line beside furniture comes from the page break.
-        body.append(line.rstrip())
+        line = line.rstrip()
+        if line or not at_break:
+            body.append(line)
+            at_break = False
     hyphen = False
     out: list[str] = []
+    tails: list[int] = []  # length of the last line as it stood on the page
     for line in body:
         if out and out[-1] and line and out[-1][-1] in MARKS and divided(out[-1], line, corrector.vocab):
             hyphen = True
-            head, _, rest = line.lstrip().partition(" ")
-            out[-1] = out[-1].rstrip()[:-1] + head
-            line = rest
-            if not line:
-                continue
+            out[-1] = out[-1][:-1] + line.lstrip()
+            tails[-1] = len(line.strip())
+            continue
         out.append(line)
+        tails.append(len(line.strip()))
     misread = False
     fixed: list[str] = []
     # Without a text to return, lines need no reflow; context reaches over line ends all the same.
-    for line in _reflow(out) if with_text else [" ".join(out)]:
+    for line in _reflow(out, tails) if with_text else [" ".join(out)]:
         tokens = line.split()
         hits_of = [corrector.hits[t] for t in tokens]
         if any(hits_of):
@@ -426,28 +433,31 @@ def _as_written(token: str, word: str) -> str:
     return token.replace(bare, word, 1)
 
 
+_FIELD = re.compile(r"[^\W\d_][\w .]{1,40}: ")  # a label and its value
 _SMALL = re.compile(r"[^\W\dA-Z_]")
 
 
-def _reflow(lines: list[str]) -> list[str]:
+def _reflow(lines: list[str], tails: list[int]) -> list[str]:
     """Lines of running prose joined; structured lines and blank lines stay."""
-    width = max((len(x) for x in lines), default=0)
+    width = max(tails, default=0)
     out: list[str] = []
     open_ = False
-    for line in lines:
+    for line, tail in zip(lines, tails):
         bare = line.strip()
         if not bare:
             if out and out[-1] != "":
                 out.append("")
             open_ = False
             continue
-        if open_ and (bare[0].islower() or bare[0] in "$£€(" or bare[0].isalnum()):
+        field = _FIELD.match(bare)
+        if open_ and not field and (bare[0] in "$£€(" or bare[0].isalnum()):
             out[-1] += " " + bare
         else:
             out.append(bare)
         # Prose: a long line of mostly small letters that isn't a table row.
         open_ = (
-            len(bare) >= 0.6 * width
+            tail >= 0.6 * width
+            and not field
             and "|" not in bare
             and not (bare[-3:-2] == "." and bare[-2:].isdigit())
             and (len(_SMALL.findall(bare)) >= 0.6 * len(bare) or bare.isupper())
