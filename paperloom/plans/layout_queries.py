@@ -151,3 +151,48 @@ def line_labels(spark, d):
 
     gold = table(spark, d, "gold_dataset").select("file_name", "recipient_name", "invoice_number", "total_amount").distinct()
     return label_lines(layout.zones(lines(spark, d)), with_stem(gold).drop("file_name"), "file_stem")
+
+
+def _rows(spark, d):
+    return layout.gap_split(layout.words(table(spark, d, "ocr_word_boxes")))
+
+
+@query()
+def rows_number(spark, d):
+    from paperloom.operators import rows
+
+    return rows.number(_rows(spark, d))
+
+
+@query()
+def rows_dates(spark, d):
+    from paperloom.operators import rows
+
+    r = _rows(spark, d)
+    return rows.invoice_date(r).join(rows.due_date(r), "file_stem", "full")
+
+
+@query()
+def rows_recipient(spark, d):
+    from paperloom.operators import rows
+
+    return rows.recipient(_rows(spark, d))
+
+
+@query()
+def rows_issuer(spark, d):
+    from paperloom.operators import rows
+
+    return rows.issuer(_rows(spark, d))
+
+
+@query()
+def v5_rescued_record(spark, d):
+    """Version 5 of the invoices that have words, completed from their rows."""
+    from paperloom.operators import regex_fields, rows
+    from paperloom.session import materialize
+
+    r = materialize(_rows(spark, d))
+    docs = with_stem(invoices(spark, d)).join(r.select("file_stem").distinct(), "file_stem", "left_semi")
+    out = rows.rescue(materialize(regex_fields.extract_fields(docs)), r)
+    return out.select("doc_id", *regex_fields.FIELDS)
