@@ -250,10 +250,11 @@ def test_names_planted(spark):
         ["Anthony Lohubedruck", "Anthony L. Lohubedruck", "Tony Lohubedruck"],
         ["Bizikomes International Trading Inc.", "Bizikomes Int'l Trdg Inc", "Bill To: Bizikomes International Trading Inc.", "BizikomesInternational Trading Inc.", "International Trading Inc., Bizikomes", "Bizikomes I.T."],
         ["The Zolimur Packaging GmbH", "Zolimur Pkg G.m.b.H."],
+        ["Tigragrurt Paper Company", "Tigragrurt"],
         ["Zolimur Catering Ltd"],
         ["W. Karabonte", "William Karabonte"],
     ]
-    noise = ["RzQfC|", "kMO'", None, "", "   "]
+    noise = ["Mr. Karabonte", "Lohubedruck", "Zolimur", "RzQfC|", "kMO'", None, "", "   "]
     rows = [("d", v, None, datetime.datetime(2024, 1, 1)) for g in groups for v in g] + [("e", None, v, datetime.datetime(2024, 1, 1)) for v in noise]
     df = spark.createDataFrame(rows + rows[:3], EXTRACTIONS)
     got = {tuple(r) for r in names.found(df).collect()}
