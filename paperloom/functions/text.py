@@ -189,3 +189,10 @@ def box_text(c: Column) -> Column:
 def contains_either_way(a: Column, b: Column) -> Column:
     """Either text contains the other; empty texts never match."""
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
+
+
+def buyer_name(c: Column) -> Column:
+    """Recipient from a buyer block: the first line without its label, else the second line."""
+    parts = F.transform(F.split(empty(c), "\n"), strip)
+    first = strip(F.regexp_replace(F.get(parts, F.lit(0)), r"(?iU)^(bill\s*to|buyer|customer|client)\s*[:\-]?\s*", ""))
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.get(parts, F.lit(1)), F.lit("")))

@@ -69,7 +69,7 @@ def best_line(items: Column, score: Callable[[Column, Column], Column], least: i
     return let(best, lambda b: F.when(b["s"] >= least, value(b["line"])))
 
 
-def block_after(lines: Column, label: str, size: int, stop: str, whole: bool = False) -> Column:
+def block_after(lines: Column, label: str, size: int, stop: str) -> Column:
     """Lines after the first label line that has any, up to ``size``, a blank line or a stop word.
 
     ``lines`` may hold blank lines, which end a block.

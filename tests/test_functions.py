@@ -73,3 +73,9 @@ def test_boxes(spark):
     got = df.select(boxes.iou(x, y), boxes.vertical_overlap(x, y)).collect()
     assert (round(got[0][0], 6), got[0][1]) == (round(1 / 7, 6), 0.5)
     assert tuple(got[1]) == (0.0, 0.0)
+
+
+def test_buyer_name(spark):
+    assert one(spark, "Buyer: Jane Roe\n1 Road", X.buyer_name) == "Jane Roe"
+    assert one(spark, "Bill to:\nJane Roe", X.buyer_name) == "Jane Roe"
+    assert one(spark, None, X.buyer_name) is None

@@ -201,3 +201,54 @@ def test_streams(spark, tmp_path):
     documents.write_results(documents.gated(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {tuple(r) for r in out.select("doc_id", "predicted_class").collect()} == {tuple(r) for r in documents.gated(d).select("doc_id", "predicted_class").collect()}
+
+
+def test_fields_from_rows(spark):
+    from paperloom.operators import regex_fields, rows
+
+    r = spark.createDataFrame(
+        [
+            ("d", 0, 10, 5, "Acme Trading Company"), ("d", 1, 40, 5, "Invoice No: AB-7781"), ("d", 2, 60, 5, "Invoice Date"), ("d", 3, 80, 5, "March 3, 1999"),
+            ("d", 4, 100, 5, "Due Date 4/5/1999 or 6/7/1999"), ("d", 5, 120, 5, "Bill To: Jane Roe"), ("d", 6, 900, 5, "Total amount due $1,345.00"),
+        ],
+        "file_stem string, line_idx int, top int, left int, text string",
+    )
+    assert rows.number(r).first().invoice_number == "AB-7781"
+    assert rows.invoice_date(r).first().invoice_date == "1999-03-03"
+    assert rows.due_date(r).first().due_date == "1999-06-07"
+    assert rows.recipient(r).first().recipient_name == "Jane Roe"
+    assert rows.issuer(r).first().issuer_name == "Acme Trading Company"
+    df = regex_fields.extract_fields(spark.createDataFrame([("d", "hello there"), ("e", None)], "file_stem string, raw_text string"))
+    got = {x.file_stem: x for x in rows.rescue(df, r).collect()}
+    assert (got["d"].invoice_number, got["d"].total_amount, got["d"].recipient_name) == ("AB-7781", "1345.00", "Jane Roe")
+    assert got["e"].invoice_number is None and got["e"].issuer_name is None
+    assert rows.recipient(r.limit(0)).count() == 0
+
+
+def test_tfidf_by_hand(spark):
+    from math import log
+
+    from paperloom.operators import models
+
+    df = spark.createDataFrame([("a", "x", "red red blue"), ("b", "x", "blue sky"), ("c", "y", "green sky")], "doc_id string, label string, clean_text string")
+    g = models.grams(df)
+    assert g.filter("doc_id = 'a'").first().grams == ["red", "red", "blue", "red red", "red blue"]
+    feats = models.fit_features(g, min_df=1.0, max_df=1.0)
+    i = feats.counter.vocabulary.index("red")
+    assert abs(feats.idf[i] - (log(4 / 2) + 1)) < 1e-9
+    v = feats.transform(g).filter("doc_id = 'a'").first().features
+    assert abs(sum(x * x for x in v.toArray()) - 1) < 1e-9
+
+
+def test_line_ranker_pieces(spark):
+    from paperloom.operators import lines
+
+    df = spark.createDataFrame([("Total: $1.871,86 or 12.00",), ("Invoice # AB-99",), ("Bill to:  Acme |",), (None,)], "t string")
+    c = F.col("t")
+    got = df.select(lines.amount_of(c), lines.number_of(c), lines.party_of(c)).collect()
+    assert got[0][0] == "12.00" and got[1][1] == "AB-99" and got[2][2] == "Acme"
+    assert tuple(got[3]) == (None, None, None)
+    z = spark.createDataFrame([("d", 1, 1, 1, "Acme Inc", 0.1, 0.1)], "file_stem string, block_num int, par_num int, line_num int, text string, x_rel double, y_rel double")
+    gold = spark.createDataFrame([("d", "Acme", None, None)], "file_stem string, recipient_name string, invoice_number string, total_amount string")
+    r = lines.label_lines(z, gold, "file_stem").first()
+    assert (r.y_recipient_name, r.y_total_amount) == (1, 0)
