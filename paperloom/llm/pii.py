@@ -372,6 +372,10 @@ class Tagger:
 # Whole items -----------------------------------------------------------------------------------------------------
 
 _PARTICLES = {"van", "der", "den", "de", "del", "della", "la", "le", "du", "di", "da", "dos", "von", "zu", "ter", "ten", "bin", "al"}
+_SHORT_GIVEN = {"Bill", "Will", "Art", "Rich", "Ray", "Pat", "Don", "Val", "Leo", "Jo", "Al", "Ed"}  # given names that are words too
+_NUMBER_WORD = re.compile(r"^(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b", re.I)
+_STREET_WORDS = {w.strip(".").lower() for w in pii_samples.STREETS} | {"plaza", "square", "row", "walk", "mews"}
+_FIRM_END = {"inc", "llc", "ltd", "limited", "plc", "corp", "corporation", "company", "gmbh", "bv", "sa", "llp", "ag", "co"}
 _HOUSE = re.compile(r"(?:\d{1,5}[A-Za-z]?|One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|Eleven|Twelve),?")
 
 
@@ -382,12 +386,21 @@ def widen(tokens: list[str], items: list[tuple[int, int, str]]) -> list[tuple[in
         floor = out[-1][1] if out else 0
         back = lambda i: i - 1 if i - 1 >= floor else -1
         if kind == "name":
-            while b + 1 < len(tokens) and tokens[b].lower() in _PARTICLES and tokens[b + 1][:1].isupper() and tokens[b - 1][-1].isalpha():
+            initial = re.fullmatch(r"[A-Z]\.", tokens[b - 1])
+            while b + 1 < len(tokens) and tokens[b].lower() in _PARTICLES and tokens[b + 1][:1].isupper() and (initial or tokens[b - 1][-1].isalpha()):
                 b += 2 + (tokens[b + 1].lower() in _PARTICLES and b + 2 < len(tokens))
             while (i := back(a)) >= 0 and tokens[i].lower() in _PARTICLES and (tokens[i].islower() or tokens[a].isupper()):
                 a = i
+            if (i := back(a)) >= 0 and tokens[i] in _SHORT_GIVEN:
+                a = i
+            if _place_or_firm(tokens, a, b):
+                continue
+            if _NUMBER_WORD.match(tokens[a]) and tokens[b - 1].strip(_PUNCT).lower() in _STREET_WORDS:
+                kind = "address"
         elif kind == "address":
-            if not any(c.isdigit() for t in tokens[a:b] for c in t) and not _HOUSE.fullmatch(tokens[a]):
+            if not any(c.isdigit() for t in tokens[a:b] for c in t) and any(t.strip(_PUNCT).lower() in _GIVEN for t in tokens[a:b]):
+                kind = "name"
+            elif not any(c.isdigit() for t in tokens[a:b] for c in t) and not _HOUSE.fullmatch(tokens[a]):
                 i = back(a)
                 while i >= 0 and tokens[i] == BREAK:
                     i = back(i)
@@ -414,12 +427,24 @@ def widen(tokens: list[str], items: list[tuple[int, int, str]]) -> list[tuple[in
     return out
 
 
+def _place_or_firm(tokens: list[str], a: int, b: int) -> bool:
+    """A town before its code, or the first word of a firm whose name goes on in the next line."""
+    after = [t for t in tokens[b : b + 6] if t != BREAK]
+    if len(after) > 1 and re.fullmatch(r"[A-Z]{2}", after[0]) and re.fullmatch(r"\d{5}\W*", after[1]):
+        return True
+    if b - a == 1 and b < len(tokens) and tokens[b] == BREAK:
+        stop = tokens.index(BREAK, b + 1) if BREAK in tokens[b + 1 :] else len(tokens)
+        last = tokens[b + 1 : stop][-1:]
+        return bool(last) and re.sub(r"\W", "", last[0]).lower() in _FIRM_END and tokens[a].strip(_PUNCT).lower() not in _GIVEN
+    return False
+
+
 # Exact checks of form -----------------------------------------------------------------------------------------
 
 _LEAD = re.compile(r"^(?:[^\W\d_][\w.-]*:)+(?=\S)")
-_NUMBER_WORD = re.compile(r"^(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b", re.I)
 _EDGE = " \t.,;:<>[]{}\"'|!?*#" + BREAK
 _EXTENSION = re.compile(r"\s*(?:ext\.?|extension|x)\s*\d+\W*$", re.I)
+_NOBODY = {"madam", "sir", "sirs", "team", "all", "colleagues", "customer", "client", "subtotal", "total"}
 _TITLE = re.compile(r"^(?:(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|sir|dear|hello|hi)\b\.?\s+)+", re.I)
 
 
@@ -445,7 +470,7 @@ def item(kind: str, raw: str) -> str | None:
         return s if ok else None
     s = _TITLE.sub("", s)
     s = re.sub(r"^[^\w]+|[^\w]+$", "", s)
-    return s if sum(c.isalpha() for c in s) >= 3 and not digits else None
+    return s if sum(c.isalpha() for c in s) >= 3 and not digits and s.lower() not in _NOBODY else None
 
 
 def key_of(s: str) -> str:

@@ -19,7 +19,7 @@ GIVEN = (
     "Erik Bjørn Dmitri Ivan Boris Sergei Yusuf Hamid Omar Ali Kenji Hiroshi Wei Guillermo José Juan Carlos Luis Miguel Francisco Tomás "
     "Lorenzo Marco Luca Giovanni Paolo Léon Pierre Jean Jacques Michel André Bob Tom Mike Nick Fred Theo Ted Danny Liz Kate Beth"
 ).split()
-STREETS = "Street Avenue Road Lane Drive Court Way Place Terrace Crescent Boulevard Highway Square Close Parkway St. Ave. Rd. Ave Rd Blvd Dr. Ln. Ct.".split()
+STREETS = "Street Avenue Plaza Road Lane Drive Court Way Place Terrace Crescent Boulevard Highway Square Close Parkway St. Ave. Rd. Ave Rd Blvd Dr. Ln. Ct.".split()
 ROMANCE_STREETS = "rue|avenue|boulevard|place|chemin|allée|impasse|quai|calle|avenida|plaza|paseo|camino|via|viale|piazza|corso|rua|travessa|largo".split("|")
 GERMAN_STREETS = "straße strasse weg allee gasse platz ring damm ufer".split()
 TRADES = (
@@ -109,7 +109,7 @@ class Maker:
     def ADDRESS(self) -> str:
         x, n = self.r.random(), str(self.r.randint(1, self.pick([19, 99, 399, 999, 9999, 9999, 9999])))
         if x < 0.5:
-            if self.r.random() < 0.12:
+            if self.r.random() < 0.2:
                 n = self.pick("One Two Three Four Five Six Seven Eight Nine Ten Eleven Twelve".split())
             elif self.r.random() < 0.08:
                 n += f"-{int(n) + 2}"
