@@ -207,12 +207,12 @@ def values(extractions: DataFrame) -> DataFrame:
 def normalized(extractions: DataFrame) -> DataFrame:
     """(doc_id, field_name, value, canonical). Only values with a character outside printable ASCII reach Python."""
     all_values = values(extractions)
-    plain = F.col("value").rlike(r"^[\x20-\x7e]*$")
+    plain = F.col("value").rlike(r"^[\x20-\x7e]*\z")
     other = all_values.filter(~plain).withColumn("canonical", consistent(F.col("value")))
     return all_values.filter(plain).withColumn("canonical", F.col("value")).unionByName(other)
 
 
 def found(extractions: DataFrame) -> DataFrame:
     """(doc_id, field_name) with a value that isn't in the consistent form."""
-    odd = values(extractions).filter(~F.col("value").rlike(r"^[\x20-\x7e]*$"))
+    odd = values(extractions).filter(~F.col("value").rlike(r"^[\x20-\x7e]*\z"))
     return odd.filter(consistent(F.col("value")) != F.col("value")).select("doc_id", "field_name").distinct()

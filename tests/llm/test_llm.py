@@ -140,8 +140,8 @@ EXTRACTIONS = "doc_id string, issuer_name string, recipient_name string, run_ts
 
 def test_confusables_found(spark):
     t = datetime.datetime(2024, 1, 1)
-    df = spark.createDataFrame([("a", "Acme", "B​ob", t), ("a", "Acme", "B​ob", t), ("b", None, "", t), ("c", "Асme", None, t), ("c", "Acme", None, t)], EXTRACTIONS)
-    assert {tuple(r) for r in confusables.found(df).collect()} == {("a", "recipient_name"), ("c", "issuer_name")}
+    df = spark.createDataFrame([("a", "Acme", "B​ob", t), ("a", "Acme", "B​ob", t), ("b", None, "", t), ("c", "Асme", None, t), ("c", "Acme", None, t), ("d", "Acme\n", None, t)], EXTRACTIONS)
+    assert {tuple(r) for r in confusables.found(df).collect()} == {("a", "recipient_name"), ("c", "issuer_name"), ("d", "issuer_name")}
     assert confusables.found(df.limit(0)).count() == 0
 
 
