@@ -74,7 +74,29 @@ def layout_total(spark, d):
     return layout.total(layout.zones(lines(spark, d)))
 
 
-@query()
+_ISSUERS = f"SELECT file_stem, CASE WHEN c <> '' AND NOT {S.has('c', r'\b(pay to|reference|explanation|client copy|check request)\b')} AND {S.digits('c')} <= 5 THEN c END AS issuer_name FROM ({_BEST})"
+
+
+def _pts(pattern: str, n: int) -> str:
+    return f"CASE WHEN {S.has('text', pattern)} THEN {n} ELSE 0 END"
+
+
+_R_SCORE = " + ".join(
+    [
+        "CASE WHEN coalesce(lower(issuer_name) = lower(text), false) THEN -10 ELSE 0 END",
+        _pts(r"\b(bill to|sold to|ship to|to:)\b", 4), _pts(r"\b(attention|attn)\b", 2), _pts(P.LAYOUT_COMPANY, 7), _pts(r"\b(street|avenue|road|suite|floor|telephone|fax|telex)\b", -3),
+        _pts(r"\b(remit to|reference|explanation|client copy)\b", -5), f"CASE WHEN {S.digits('text')} > 6 THEN -3 ELSE 0 END", f"CASE WHEN len({S.tokens('text')}) BETWEEN 2 AND 8 THEN 2 ELSE 0 END",
+        _pts(r"\b(pay to|remit to|reference|explanation|client copy|check request)\b", -7), _pts(r"^(mr|mrs|ms|dr)\.?\b", 1),
+    ]
+)
+_R_BEST = (
+    f"SELECT file_stem, issuer_name, {S.clean_name(r"regexp_replace(text, '(?i)^(attention|attn)\s*:\s*', '')")} AS c FROM (SELECT *, row_number() OVER (PARTITION BY file_stem ORDER BY {_R_SCORE} DESC, top, \"left\", block_num, par_num, line_num) AS r "
+    f"FROM ({_ZONED}) LEFT JOIN ({_ISSUERS}) USING (file_stem) WHERE y_rel < 0.7 AND x_rel < 0.5) WHERE r = 1"
+)
+_R_BAD = " OR ".join(S.has("c", p) for p in layout._BAD_RECIPIENT)
+
+
+@query(f"SELECT file_stem, CASE WHEN c <> '' AND NOT coalesce(lower(c) = lower(issuer_name), false) AND NOT ({_R_BAD}) AND {S.digits('c')} <= 5 THEN c END AS recipient_name FROM ({_R_BEST})")
 def layout_recipient(spark, d):
     z = layout.zones(lines(spark, d))
     return layout.recipient(z, layout.issuer(z))
