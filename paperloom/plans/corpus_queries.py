@@ -33,7 +33,7 @@ def _hash(seed: int, key: str = "doc_id") -> str:
 
 
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash(42)}, doc_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM {S.RAW}"
-_SPLIT = "CASE WHEN r < round(n * 0.7) THEN 'train' WHEN r < round(n * 0.7) + round(n * 0.15) THEN 'val' ELSE 'test' END"
+_SPLIT = "CASE WHEN r < round(n * 0.7::DOUBLE) THEN 'train' WHEN r < round(n * 0.7::DOUBLE) + round(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END"
 
 
 @query(f"SELECT doc_id, label, {_SPLIT} AS _split FROM ({_RANKED})")

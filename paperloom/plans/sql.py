@@ -75,3 +75,8 @@ def valid_number(x: str) -> str:
 
 def clean_name(x: str) -> str:
     return f"substring({strip(squash(f'regexp_replace({x}, {lit(chr(94) + r"[^\p{L}\p{N}_]+")}, {lit("")})'))}, 1, 100)"
+
+
+def round4(x: str) -> str:
+    """Half up on the decimal value, as Spark rounds doubles."""
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 12)), 4) AS DOUBLE)"

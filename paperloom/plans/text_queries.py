@@ -61,8 +61,8 @@ def line_split_explode(spark, d):
 
 @query(
     f"SELECT doc_id, CAST({S.digits('raw_text')} AS INT) AS digits, CAST({S.letters('raw_text')} AS INT) AS letters, "
-    f"CASE WHEN {S.letters('raw_text')} = 0 THEN 0.0 ELSE round({S.count('raw_text', r'\p{Lu}')} / {S.letters('raw_text')}, 4) END AS uppercase_ratio, "
-    f"CASE WHEN length(coalesce(raw_text, '')) = 0 THEN 0.0 ELSE round({S.digits('raw_text')} / length(raw_text), 4) END AS digit_ratio FROM {S.RAW}"
+    f"CASE WHEN {S.letters('raw_text')} = 0 THEN 0.0 ELSE {S.round4(f"{S.count('raw_text', r'\p{Lu}')} / {S.letters('raw_text')}")} END AS uppercase_ratio, "
+    f"CASE WHEN length(coalesce(raw_text, '')) = 0 THEN 0.0 ELSE {S.round4(f"{S.digits('raw_text')} / length(raw_text)")} END AS digit_ratio FROM {S.RAW}"
 )
 def char_class_ratios(spark, d):
     t = F.col("raw_text")
@@ -151,8 +151,8 @@ def pattern_occurrences(spark, d):
 
 
 @query(
-    rf"SELECT doc_id, CAST(len(regexp_extract_all(t, '[^\x00-\x7f]')) AS INT) AS non_ascii, CASE WHEN n = 0 THEN 0.0 ELSE round(short / n, 4) END AS short_word_ratio, "
-    rf"CASE WHEN n = 0 THEN 0.0 ELSE round(chars / n, 4) END AS mean_word_length, n > 0 AND (short / n > 0.5 OR chars / n < 3) AS noisy "
+    rf"SELECT doc_id, CAST(len(regexp_extract_all(t, '[^\x00-\x7f]')) AS INT) AS non_ascii, CASE WHEN n = 0 THEN 0.0 ELSE {S.round4('short / n')} END AS short_word_ratio, "
+    rf"CASE WHEN n = 0 THEN 0.0 ELSE {S.round4('chars / n')} END AS mean_word_length, n > 0 AND (short / n > 0.5 OR chars / n < 3) AS noisy "
     rf"FROM (SELECT doc_id, t, len(w) AS n, len([x FOR x IN w IF length(x) <= 2]) AS short, coalesce(list_sum([length(x) FOR x IN w]), 0) AS chars "
     rf"FROM (SELECT doc_id, coalesce(raw_text, '') AS t, {S.tokens('raw_text')} AS w FROM {S.RAW}))"
 )
