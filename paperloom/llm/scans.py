@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.functions.text import STOPWORDS
 from paperloom.llm.common import spread
 from paperloom.session import materialize
 
@@ -313,6 +314,19 @@ def _valid_number(s: str) -> bool:
     return True
 
 
+_STOP = set(STOPWORDS)
+
+
+def _sentence(s: str) -> bool:
+    """A line of a sentence rather than a title: small words in it or at its end, or several words in lower case.
+
+    Lines of stock phrases can recur by chance; titles name things.
+    """
+    words = s.split()
+    small = sum(w.lower() in _STOP for w in words)
+    return small >= 2 or words[-1].lower() in _STOP or sum(w.islower() and w.isalpha() for w in words) >= 5
+
+
 def furniture(text: str) -> tuple[list[str], set[int], bool, bool]:
     """Lines, the indexes of those that are furniture, and whether there are page numbers and headers."""
     lines = text.replace("\f", "\n\f\n").split("\n")
@@ -341,7 +355,7 @@ def furniture(text: str) -> tuple[list[str], set[int], bool, bool]:
         # Body lines end sentences or are items; titles are neither.
         if s[0].islower() and (s[-1] == "." or " " not in s) or "|" in s or s[-3:-2] == "." and s[-2:].isdigit():
             continue
-        if _FOUR.search(s):
+        if _FOUR.search(s) and not _sentence(s):
             titled.append(i)
             names.append(" ".join(s.split()) if "  " in s else s)
     # Folded in one go: calls on short lines would cost more than the folding.
