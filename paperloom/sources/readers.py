@@ -131,7 +131,7 @@ def truth_key(file_name: Column) -> Column:
 
 def with_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
     """Results joined with ground truth by file name, else by the name without its running number."""
-    exact = truth.withColumnsRenamed({"file_name": "file_name", "gold": "_exact"})
+    exact = truth.withColumnRenamed("gold", "_exact")
     loose = truth.withColumnsRenamed({"file_name": "_key", "gold": "_loose"})
     df = results.join(exact, ["file_name", "field"], "left").withColumn("_key", truth_key(F.col("file_name")))
     df = df.join(loose, ["_key", "field"], "left")
