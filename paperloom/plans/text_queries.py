@@ -90,6 +90,14 @@ def lexicon_flags(spark, d):
     return df.select("issuer_name", X.flag(c, X.ORG_SUFFIX).alias("org_suffix"), X.flag(c, X.ADDRESS_WORD).alias("address_word"), X.flag(c, X.LABEL_WORD).alias("label_word"))
 
 
+@query()
+def lexicon_flags_all(spark, d):
+    """The lexicon flags of every issuer name. The other engine's word bounds are ASCII only, so its SQL can't express names outside ASCII."""
+    c = F.col("issuer_name")
+    df = table(spark, d, "invoice_extractions_ml").select("issuer_name").filter(c.isNotNull()).distinct()
+    return df.select("issuer_name", X.flag(c, X.ORG_SUFFIX).alias("org_suffix"), X.flag(c, X.ADDRESS_WORD).alias("address_word"), X.flag(c, X.LABEL_WORD).alias("label_word"))
+
+
 def _context_sql() -> str:
     joined = "lower(coalesce(ls[i - 1], '') || ' | ' || ls[i] || ' | ' || coalesce(ls[i + 1], ''))"
     sums = ", ".join(f"CAST(sum({S.flag('j', p)}) AS BIGINT) AS {n}" for n, p in X.CONTEXT_FLAGS.items())

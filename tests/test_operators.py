@@ -252,3 +252,15 @@ def test_line_ranker_pieces(spark):
     gold = spark.createDataFrame([("d", "Acme", None, None)], "file_stem string, recipient_name string, invoice_number string, total_amount string")
     r = lines.label_lines(z, gold, "file_stem").first()
     assert (r.y_recipient_name, r.y_total_amount) == (1, 0)
+
+
+def test_lexicon_flags_of_all_names(spark, tmp_path):
+    import re
+
+    from paperloom.functions import text as X
+    from paperloom.plans import registry
+
+    names = ["Société Générale Group", "Labsé", "élabs", "Acme\xa0Ltd.", "LTD\xa0Ünal", "Straße Road", "Drü", "Иванов Center", "Аcme Inc", "ΔInc", "Purchase Order Ωmega", "Total é", "Plain Services", "", " ", "a\nInc"]
+    spark.createDataFrame([(n,) for n in names * 2 + [None]], "issuer_name string").write.parquet(f"{tmp_path}/invoice_extractions_ml.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["lexicon_flags_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((n, *(int(bool(re.search(p, n, re.I))) for p in (X.ORG_SUFFIX, X.ADDRESS_WORD, X.LABEL_WORD))) for n in names)
