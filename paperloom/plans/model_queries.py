@@ -85,6 +85,6 @@ def line_ranker_top1(spark, d):
     gold = with_stem(table(spark, d, "gold_dataset").select("file_name", *lines.FIELDS).distinct()).drop("file_name")
     rows = lines.with_features(lines.label_lines(zoned, gold, "file_stem"))
     rows = materialize(corpus.group_split(rows, "file_stem"))
-    model = lines.train(rows.filter("_part = 'train'"), "total_amount", size=5000)
+    model = lines.train(rows.filter("_part = 'train'"), "total_amount")
     best = lines.best_lines(model, rows.filter("_part = 'test'"), "file_stem")
     return best.withColumn("total_amount", lines.amount_of(F.col("text")))

@@ -264,3 +264,13 @@ def test_lexicon_flags_of_all_names(spark, tmp_path):
     spark.createDataFrame([(n,) for n in names * 2 + [None]], "issuer_name string").write.parquet(f"{tmp_path}/invoice_extractions_ml.parquet")
     got = sorted(tuple(r) for r in registry.QUERIES["lexicon_flags_all"](spark, str(tmp_path)).collect())
     assert got == sorted((n, *(int(bool(re.search(p, n, re.I))) for p in (X.ORG_SUFFIX, X.ADDRESS_WORD, X.LABEL_WORD))) for n in names)
+
+
+def test_line_ranker_query_trains_on_the_operators_vocabulary(spark, monkeypatch):
+    from paperloom.operators import lines
+    from paperloom.plans import registry
+
+    models, train = [], lines.train
+    monkeypatch.setattr(lines, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    registry.QUERIES["line_ranker_top1"](spark, "/root/testdata/sf0.001")
+    assert [m.stages[0].getOrDefault("vocabSize") for m in models] == [40_000]
