@@ -291,14 +291,16 @@ def _telling(profiles: DataFrame) -> DataFrame:
 
 def _keyed(profiles: DataFrame) -> DataFrame:
     """(cut, weak, pid, profile) under the deletions of the most telling slots' variants."""
-    exploded = profiles.select("pid", "profile", F.posexplode(F.from_json(F.get_json_object("profile", "$[0]"), "array<array<string>>")).alias("slot", "variants"))
-    variants = exploded.select("pid", "slot", F.explode("variants").alias("word"))
-    weights = variants.join(_telling(profiles), "word").groupBy("pid", "slot").agg(F.max("weight").alias("weight"))
-    least = weights.groupBy("pid").agg(F.min("weight").alias("least"))
+    # An entity can have several profiles, each with keys of its own.
+    profiles = profiles.withColumn("rid", F.xxhash64("pid", "profile"))
+    exploded = profiles.select("rid", F.posexplode(F.from_json(F.get_json_object("profile", "$[0]"), "array<array<string>>")).alias("slot", "variants"))
+    variants = exploded.select("rid", "slot", F.explode("variants").alias("word"))
+    weights = variants.join(_telling(profiles), "word").groupBy("rid", "slot").agg(F.max("weight").alias("weight"))
+    least = weights.groupBy("rid").agg(F.min("weight").alias("least"))
     # A slot nearly as telling as the best one is a key too, and any that few spellings have: a rare short form of a
     # common word must not hide the word that tells.
-    chosen = weights.join(least, "pid").filter(F.col("weight") <= F.greatest(4 * F.col("least"), F.lit(FEW))).select("pid", "slot")
-    words = variants.filter(F.length("word") >= 3).join(chosen, ["pid", "slot"]).select("pid", "word").distinct()
+    chosen = weights.join(least, "rid").filter(F.col("weight") <= F.greatest(4 * F.col("least"), F.lit(FEW))).select("rid", "slot")
+    words = variants.filter(F.length("word") >= 3).join(chosen, ["rid", "slot"]).select("rid", "word").distinct()
     cuts = F.explode(
         F.concat(
             F.array("word"),
@@ -308,8 +310,8 @@ def _keyed(profiles: DataFrame) -> DataFrame:
             ),
         )
     )
-    keys = words.select("pid", cuts.alias("cut")).distinct()
-    return keys.join(profiles, "pid").select("cut", "pid", "profile")
+    keys = words.select("rid", cuts.alias("cut")).distinct()
+    return keys.join(profiles, "rid").select("cut", "pid", "profile")
 
 
 def _stream_links(keyed: DataFrame) -> DataFrame:
@@ -329,8 +331,11 @@ def _stream_links(keyed: DataFrame) -> DataFrame:
                     kind, pairs = lead.match(mine)
                     if kind == "same" and joined is None:
                         joined = lead
-                        out.append((pid, lead_id, kind))
+                        if lead_id != pid:
+                            out.append((pid, lead_id, kind))
                         lead.merge(mine, pairs)
+                    elif lead_id == pid:
+                        continue
                     elif kind == "same":
                         out.append((pid, lead_id, kind))
                     elif kind == "weak":
@@ -343,7 +348,7 @@ def _stream_links(keyed: DataFrame) -> DataFrame:
 
 
 def _merged(profiles: DataFrame, roots: DataFrame) -> DataFrame:
-    """One profile for each root, streaming through the members in order."""
+    """The profiles of each root, streaming through the members in order; what can't be merged stays a profile of its own."""
     members = profiles.join(roots, profiles["pid"] == roots["node"], "left").select(
         F.coalesce("component", "pid").alias("root"), "pid", "profile"
     )
@@ -355,38 +360,39 @@ def _merged(profiles: DataFrame, roots: DataFrame) -> DataFrame:
             out = []
             for root, raw in zip(frame["root"], frame["profile"]):
                 if root != now:
-                    if held:
-                        out.append((now, _union(held).dump()))
+                    out += [(now, p.dump()) for p in _union(held)]
                     now, held = root, []
-                held.append(Profile.load(raw))
+                _absorb(held, Profile.load(raw))
             yield pd.DataFrame(out, columns=["pid", "profile"])
         if held:
-            yield pd.DataFrame([(now, _union(held).dump())], columns=["pid", "profile"])
-
-    return ordered.select("root", "profile").mapInPandas(run, "pid long, profile string")
-
-
-def _union(profiles: list[Profile]) -> Profile:
-    """All profiles of one entity merged; those linked only through others wait for their turn."""
-    merged, rest = profiles[0], profiles[1:]
-    while rest:
-        waiting = []
-        for p in rest:
-            kind, pairs = merged.match(p)
-            if kind == "same":
-                merged.merge(p, pairs)
-            elif kind == "weak" and len(p.slots) > len(merged.slots):
-                q = p
-                q.merge(merged, [(j, i) for i, j in pairs])
-                merged = q
-            elif kind == "weak":
-                merged.merge(p, pairs)
-            else:
-                waiting.append(p)
-        if len(waiting) == len(rest):
-            break
-        rest = waiting
-    return merged
+            yield pd.DataFrame([(now, p.dump()) for p in _union(held)], columns=["pid", "profile"])
+
+    return ordered.select("root", "profile").mapInPandas(run, "pid long, profile string").distinct()
+
+
+def _absorb(held: list[Profile], p: Profile) -> None:
+    """Merges ``p`` with the first profile that it matches, or appends it."""
+    for k, lead in enumerate(held):
+        kind, pairs = lead.match(p)
+        if kind == "weak" and len(p.slots) > len(lead.slots):
+            p.merge(lead, [(j, i) for i, j in pairs])
+            held[k] = p
+            return
+        if kind:
+            lead.merge(p, pairs)
+            return
+    held.append(p)
+
+
+def _union(profiles: list[Profile]) -> list[Profile]:
+    """The profiles of one entity merged until none match; those linked only through others stay beside the rest."""
+    while True:
+        held: list[Profile] = []
+        for p in profiles:
+            _absorb(held, p)
+        if len(held) == len(profiles):
+            return held
+        profiles = held
 
 
 def entities(extractions: DataFrame) -> DataFrame:

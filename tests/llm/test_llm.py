@@ -269,6 +269,18 @@ def test_ambiguous_abbreviation_waits(spark):
     assert names.found(df).count() == 0
 
 
+def test_union_keeps_what_does_not_match():
+    a, b, c = (names.Profile([[w], ["karabonte"]], []) for w in ("packaging", "catering", "packagin"))
+    got = names._union([a, b, c])
+    assert sorted(w for p in got for slot in p.slots for w in slot) == ["catering", "karabonte", "karabonte", "packagin", "packaging"]
+
+
+def test_profiles_of_one_entity_are_not_linked_to_themselves(spark):
+    dumps = [(1, names.Profile([["karabonte"], ["packaging"]], []).dump()), (1, names.Profile([["catering"], ["karabonte"]], []).dump()), (2, names.Profile([["caterin"], ["karabonte"]], []).dump())]
+    links = names._stream_links(names._keyed(spark.createDataFrame(dumps, "pid long, profile string"))).collect()
+    assert {(frozenset((r.a, r.b)), r.kind) for r in links} == {(frozenset((1, 2)), "same")}
+
+
 def test_within1():
     for a, b, ok in [("abc", "abc", True), ("abc", "abd", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "axbc", True), ("abc", "cba", False), ("abcd", "ab", False)]:
         assert names.within1(a, b) == names.within1(b, a) == ok
