@@ -274,3 +274,13 @@ def test_line_ranker_query_trains_on_the_operators_vocabulary(spark, monkeypatch
     monkeypatch.setattr(lines, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
     registry.QUERIES["line_ranker_top1"](spark, "/root/testdata/sf0.001")
     assert [m.stages[0].getOrDefault("vocabSize") for m in models] == [40_000]
+
+
+def test_models_are_compared_on_validation_only(spark, monkeypatch):
+    from paperloom.operators import models
+    from paperloom.plans import registry
+
+    seen, compare = [], models.compare
+    monkeypatch.setattr(models, "compare", lambda train, held, *a: seen.append({r[0] for r in held.select("_split").distinct().collect()}) or compare(train, held, *a))
+    assert registry.QUERIES["model_comparison"](spark, "/root/testdata/sf0.001").filter("best").count() == 1
+    assert seen == [{"val"}]
