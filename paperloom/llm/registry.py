@@ -77,6 +77,20 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(table(spark, sf_dir, "gold_dataset"), table(spark, sf_dir, "raw_documents"))
 
 
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each gold record's page, and how many records have it in all and on either side of the split."""
+    from paperloom.llm import overlap
+
+    return overlap.pages(table(spark, sf_dir, "gold_dataset"), table(spark, sf_dir, "raw_documents"))
+
+
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked pairs of different texts: coverage, number and longest of their merged spans."""
+    from paperloom.llm import overlap
+
+    return overlap.span_report(table(spark, sf_dir, "gold_dataset"), table(spark, sf_dir, "raw_documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     from paperloom.llm import bpe
@@ -119,7 +133,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_entities, p3_found, p3_repaired, p4_found, p4_normalized, p5_found, p5_report, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_entities, p3_found, p3_repaired, p4_found, p4_normalized, p5_found, p5_report, p5_pages, p5_spans, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_restored)}
 
 ORACLES = {
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

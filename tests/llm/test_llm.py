@@ -223,9 +223,62 @@ def test_overlap_planted_and_hot_copies(spark):
     assert got == {("d000", "d100"), ("d001", "d101")} | {("d002", f"d{i}") for i in range(200, 240)}
     rep = {r.split: r for r in overlap.report(golddf, rawdf).collect()}
     assert (rep["test"].records, rep["test"].overlapping, rep["val"].overlapping) == (42, 41, 1)
+    pages_ = {(r.doc_id, r.split): r for r in overlap.pages(golddf, rawdf).collect()}
+    assert len(pages_) == 60 + 3 + 40  # texts that are null or empty have no page
+    assert (pages_["d002", "train"].copies, pages_["d002", "train"].held, pages_["d210", "test"].train) == (41, 40, 1)
+    linked = overlap.span_report(golddf, rawdf).collect()
+    assert len(linked) == 1 and all(0.8 <= r.covered <= 1 and r.spans >= 1 and r.longest >= 3 for r in linked)
     assert overlap.found(golddf.limit(0), rawdf).count() == 0
 
 
+def _words(rng, n, vocab=4000):
+    return np.array([rng.randrange(vocab) * 16 + 1 for _ in range(n)], np.uint16)
+
+
+@pytest.mark.parametrize("lo, hi, changed", [(8, 15, 1), (12, 19, 1), (20, 30, 1), (31, 60, 3), (60, 250, 12)])
+def test_overlap_recall_in_each_band_of_length(spark, lo, hi, changed):
+    """Against coverage over all diagonals, among texts that share standard paragraphs; sorted in many partitions."""
+    rng = random.Random(lo)
+    seqs, pairs = [], []
+    for _ in range(120):
+        t = _words(rng, rng.randint(lo, hi))
+        u = t.copy()
+        for p in rng.sample(range(len(t)), changed):
+            u[p] = rng.randrange(4000) * 16 + 1
+        if overlap.extend(t, u, np.arange(-20, 21))[0] >= overlap.COVERED:
+            pairs.append((len(seqs), len(seqs) + 1))
+        seqs += [t, u]
+    standard = [_words(rng, 50) for _ in range(2)]
+    seqs += [np.concatenate([_words(rng, 30), rng.choice(standard)]) for _ in range(200)]
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(seqs)], "rec long, words binary")
+    rows = overlap.spans(overlap.suffixes(reps))
+    got = {(r.a, r.b) for r in overlap.links(overlap.nominated(rows), reps).collect()}
+    assert len(got & set(pairs)) >= 0.9 * len(pairs) and len(pairs) > 60
+    assert all(a // 2 == b // 2 for a, b in got if b < 240)
+
+
+def test_overlap_compares_across_borders(spark):
+    """As many spans in eight partitions as in one."""
+    rng = random.Random(1)
+    seqs = [_words(rng, 100, 5) for _ in range(40)]
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(seqs)], "rec long, words binary")
+    rows = np.concatenate([np.column_stack([overlap.keys(w, at := overlap.anchors(w)), np.full(len(at), i), at << 32 | len(w)]) for i, w in enumerate(seqs)])
+    want = overlap.adjacent(rows[np.lexsort(rows.T[::-1])])
+    got = np.array([tuple(r) for r in overlap.spans(overlap.suffixes(reps)).collect()])
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want)
+
+
+def test_common_prefix_goes_on_past_the_keyed_words():
+    rng = random.Random(2)
+    base = _words(rng, 300)
+    for equal in (5, 12, 17, 30, 60, 300):
+        other = base.copy()
+        other[equal:] = _words(rng, 300 - equal) + 1
+        a, b = (np.column_stack([overlap.keys(w, np.zeros(1, np.int64)), [[i, 300]]]) for i, w in enumerate((base, other)))
+        got = int(overlap.common_prefix(a, b)[0])
+        assert got <= equal and got == max([n for n in (*range(13), *overlap.LEVELS, 300) if n <= equal])
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(1, 1), (5, None)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 301 + i) for i in range(30)]
