@@ -123,8 +123,8 @@ def keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     part = padded[at[:, None] + np.arange(KEYED)].reshape(len(at), 3, 4)
     packed = ((part[:, :, 0] - 0x8000) << 48) | part[:, :, 1] << 32 | part[:, :, 2] << 16 | part[:, :, 3]
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[1], np.full(n, _PRIME, np.uint64)]).astype(np.uint64))
-        inverse = np.cumprod(np.concatenate([[1], np.full(n, _INVERSE, np.uint64)]).astype(np.uint64))
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _PRIME, np.uint64)]))
+        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64)]))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((words.astype(np.uint64) + np.uint64(1)) * powers[:n])])
         begin = np.minimum(at + KEYED, n)
         k4 = np.zeros(len(at), np.uint64)
