@@ -8,8 +8,9 @@ real encoding is UTF-8 a unit of two to four characters is emitted at its lead;
 so each state has only one way to read the characters. Viterbi runs over all texts of a batch at once.
 
 The model of clean characters is learned from all documents: first from all characters outside
-what would be valid UTF-8 under some pair, then (hard EM) from those that are labelled clean. Labelled spans get the inverse transform of their state; passes repeat,
-which undoes text garbled several times.
+what would be valid UTF-8 under some pair, then (hard EM) from those that are labelled clean. Labelled spans get the inverse transform of their state; passes repeat
+until nothing is labelled, which undoes text garbled any number of times. A text that comes back to a form it had
+before is left there.
 
 Defined results: null and empty texts have no case and stay; text without characters outside ASCII stays;
 replacement characters are found but stay; characters without an inverse in a labelled span stay, and the
@@ -30,8 +31,8 @@ from paperloom.llm.common import spread
 
 #: (real encoding, wrong encoding) of each pair that has a state; "utf-8*2" was garbled so twice.
 PAIRS = [
-    ("utf-8*2", "cp1252"), ("utf-8*2", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "iso8859-15"), ("utf-8", "cp1250"), ("utf-8", "iso8859-2"),
-    ("utf-8", "cp1251"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"),
+    ("utf-8*3", "cp1252"), ("utf-8*3", "latin-1"), ("utf-8*2", "cp1252"), ("utf-8*2", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "iso8859-15"), ("utf-8", "cp1250"), ("utf-8", "iso8859-2"),
+    ("utf-8", "cp1251"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"), ("utf-8", "koi8-r"),
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "cp1250"),
     ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"),
 ]
@@ -39,7 +40,8 @@ CLEAN, LOST = 0, len(PAIRS) + 1
 N_STATES = len(PAIRS) + 2
 INVALID = -14.0
 ENTER, LEAVE, SWITCH = -4.5, -2.0, -8.0
-PASSES = 3
+# Box and block signs are right in plain text, yet UTF-8 read as koi8-r is made of them: it costs more to enter.
+EXTRA = np.array([-8.0 if i and i <= len(PAIRS) and PAIRS[i - 1] == ("utf-8", "koi8-r") else 0.0 for i in range(N_STATES)], np.float32)
 
 # Characters up to FOLD stand for themselves, higher ones for their block of 256; neighbours for a class.
 FOLD = 0x3000
@@ -165,7 +167,7 @@ def utf8_units(m: Marks, real: str, wrong: str) -> tuple[np.ndarray, np.ndarray,
     """Units of a pair whose real encoding is UTF-8: index of the first mark, number of marks, code point."""
     encoder = _ENCODERS[wrong]
     lead, size, code = _units(encoder[np.minimum(m.cp, 0x10000)].astype(np.int64), m.at, np.ones(len(m.at), np.int64))
-    if real == "utf-8*2":
+    for _ in range(1, int(real.partition("*")[2] or 1)):
         outer, n, code = _units(encoder[np.minimum(code, 0x10000)].astype(np.int64), m.at[lead], size)
         ends = np.concatenate([[0], np.cumsum(size)])
         lead, size = lead[outer], ends[outer + n] - ends[outer]
@@ -217,7 +219,7 @@ def viterbi(e: np.ndarray, doc: np.ndarray) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-    into = np.full(N_STATES, ENTER, np.float32)
+    into = ENTER + EXTRA
     into[CLEAN] = 0
     score = e[first] + into
     back = np.empty((n, N_STATES), np.int8)
@@ -232,7 +234,7 @@ def viterbi(e: np.ndarray, doc: np.ndarray) -> np.ndarray:
         # From the clean state, from the best other state, or staying.
         to = np.where((clean + ENTER)[:, None] >= (top + SWITCH)[:, None], clean[:, None] + ENTER, top[:, None] + SWITCH)
         src = np.where(clean + ENTER >= top + SWITCH, CLEAN, best)[:, None].repeat(N_STATES, 1)
-        to = to.repeat(N_STATES, 1)
+        to = to + EXTRA
         stay = s >= to
         src = np.where(stay, rows, src)
         to = np.where(stay, s, to)
@@ -264,7 +266,8 @@ def restore(texts: list[str], model: CleanModel) -> list[tuple[bool, bool, list[
     pairs: list[list[str]] = [[] for _ in texts]
     out = list(texts)
     todo = list(range(len(texts)))
-    for _ in range(PASSES):
+    seen: list[set[str]] = [set() for _ in texts]
+    while todo:
         m, state = label([out[i] for i in todo], model)
         if not state.any():
             break
@@ -299,11 +302,12 @@ def restore(texts: list[str], model: CleanModel) -> list[tuple[bool, bool, list[
             for at, n, new in sorted(found_here):
                 parts += [text[last : at - base], new]
                 last = at - base + n
-            out[todo[d]] = "".join(parts) + text[last:]
-            nxt.append(todo[d])
+            i = todo[d]
+            seen[i].add(text)
+            out[i] = "".join(parts) + text[last:]
+            if out[i] not in seen[i]:
+                nxt.append(i)
         todo = nxt
-        if not todo:
-            break
     return list(zip(found, whole, pairs, out))
 
 

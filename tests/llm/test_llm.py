@@ -153,14 +153,19 @@ CLEAN = ["Le contrôle qualité a révélé des défauts à l’entrepôt — 40
 def test_mojibake_planted(spark):
     rng = random.Random(2)
     clean = [(i, " ".join(rng.choice(CLEAN) for _ in range(3))) for i in range(300)]
-    bad = {1000: ("utf-8", "cp1252"), 1001: ("utf-8", "cp437"), 1002: ("cp1252", "mac_roman"), 1003: ("utf-8", "mac_roman"), 1004: ("cp1252", "cp850")}
+    bad = {1000: ("utf-8", "cp1252"), 1001: ("utf-8", "cp437"), 1002: ("cp1252", "mac_roman"), 1003: ("utf-8", "mac_roman"), 1004: ("cp1252", "cp850"), 1011: ("utf-8", "koi8-r")}
     original = " ".join(CLEAN[:3])
     rows = clean + [(k, original.encode(a).decode(b, "replace")) for k, (a, b) in bad.items()]
     rows += [(1005, original.encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1")), (1006, "lost � sign"), (1007, None), (1008, ""), (1009, "plain ascii")]
     rows += [(1010, CLEAN[3] + " " + CLEAN[0].encode("utf-8").decode("latin-1"))]
+    thrice = original
+    for _ in range(3):
+        thrice = thrice.encode("utf-8").decode("latin-1")
+    rows += [(1012, thrice)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in mojibake.repaired(df).collect()}
-    assert set(got) == {*bad, 1005, 1006, 1010}
+    assert set(got) == {*bad, 1005, 1006, 1010, 1012}
+    assert got[1012].restored == original
     for k, (_, b) in bad.items():
         if "�" not in dict(rows)[k]:
             assert got[k].restored == original, k
