@@ -35,36 +35,71 @@ GREEK_LATIN = {
 }
 ARMENIAN_LATIN = {"օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L"}
 
-_SCRIPTS = ["LATIN", "CYRILLIC", "GREEK", "ARMENIAN"]
+CHEROKEE_LATIN = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G",
+    "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    "Ꮷ": "d", "Ᏼ": "B", "ꭰ": "d", "ꮓ": "z", "ꮩ": "v", "ꮪ": "s", "ꮯ": "c", "ꮃ": "w",
+}
+COPTIC_LATIN = {
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T",
+    "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x", "ⲩ": "y", "ⲓ": "i", "ⲕ": "k", "ⲛ": "n",
+}
+LISU_LATIN = {
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+}
+# Scripts that are written together; a letter of one belongs to each of the writing systems that use it.
+_SYSTEMS = {"CJK": "JPAN KORE HANB", "HIRAGANA": "JPAN", "KATAKANA": "JPAN", "HANGUL": "KORE", "BOPOMOFO": "HANB"}
+# First words of character names that aren't names of scripts, and of scripts with another or a longer name.
+_COMMON = set("MODIFIER MICRO SCRIPT MATHEMATICAL DOUBLE-STRUCK BLACK-LETTER EULER PLANCK INFORMATION SUPERSCRIPT TURNED VERTICAL CARON KATAKANA-HIRAGANA MASU VEDIC".split())
+_RENAMED = {"MASCULINE": "LATIN", "FEMININE": "LATIN", "ROMAN": "LATIN", "KELVIN": "LATIN", "ANGSTROM": "LATIN", "OHM": "GREEK", "IDEOGRAPHIC": "CJK", "HENTAIGANA": "HIRAGANA"}
+_TWO_WORDS = {"OLD", "NEW", "TAI", "LINEAR"}
+_WIDTHS = {"FULLWIDTH", "HALFWIDTH"}
+
 _ANY = -1
+_BITS: dict[str, int] = {}
+
+
+def _bit(script: str) -> int:
+    """A bit of its own for each script and writing system (integers have as many bits as there are scripts)."""
+    return _BITS.setdefault(script, 1 << len(_BITS))
+
+
+LATIN = _bit("LATIN")
 _TO_LATIN = {
-    bit: {k: v for k, v in table.items()}
-    for bit, table in ((2, CYRILLIC_LATIN), (4, GREEK_LATIN), (8, ARMENIAN_LATIN))
-}
+    _bit(script): table
+    for script, table in (
+        ("CYRILLIC", CYRILLIC_LATIN), ("GREEK", GREEK_LATIN), ("ARMENIAN", ARMENIAN_LATIN), ("CHEROKEE", CHEROKEE_LATIN), ("COPTIC", COPTIC_LATIN), ("LISU", LISU_LATIN),
+    )
+}
 _FROM_LATIN = {bit: {v: k for k, v in reversed(table.items())} for bit, table in _TO_LATIN.items()}
+_LOOKALIKES = {ch for table in _TO_LATIN.values() for ch in table}
+_RESPELLED = [LATIN, *_TO_LATIN]
+
+
+def script_of(ch: str) -> str | None:
+    """Name of the script of a letter, None if it belongs to all."""
+    words = unicodedata.name(ch, "").split(" ")
+    if words[0] in _WIDTHS:
+        words = words[1:]
+    if not words[0] or words[0] in _COMMON:
+        return None
+    return " ".join(words[:2]) if words[0] in _TWO_WORDS else _RENAMED.get(words[0], words[0])
 
 
 @lru_cache(1 << 14)
 def _scripts(ch: str) -> int:
-    """Bit set of the scripts that ``ch`` belongs to."""
-    if not ch.isalpha():
+    """Bit set of the scripts and writing systems that ``ch`` belongs to."""
+    script = script_of(ch) if ch.isalpha() else None
+    if script is None:
         return _ANY
-    name = unicodedata.name(ch, "")
-    for i, script in enumerate(_SCRIPTS):
-        if name.startswith(script):
-            return 1 << i
-    return 1 << (4 + hash_script(name))
-
-
-def hash_script(name: str) -> int:
-    """A stable bit for a script without look-alikes here: by the first word of its letters' names."""
-    return sum(map(ord, name.split(" ")[0])) % 24
+    return _bit(script) | sum(map(_bit, _SYSTEMS.get(script, "").split()))
 
 
 @lru_cache(1 << 14)
 def _as_latin(ch: str) -> str:
     own = _scripts(ch)
-    return _TO_LATIN.get(own, {}).get(ch, ch if own == 1 else "")
+    return _TO_LATIN.get(own, {}).get(ch, ch if own == LATIN else "")
 
 
 @lru_cache(1 << 14)
@@ -74,7 +109,7 @@ def _reach(ch: str) -> int:
     latin = _as_latin(ch)
     if own == _ANY or not latin:
         return own
-    return own | 1 | sum(bit for bit, back in _FROM_LATIN.items() if latin in back)
+    return own | LATIN | sum(bit for bit, back in _FROM_LATIN.items() if latin in back)
 
 
 def _respell(token: str, bit: int) -> str:
@@ -85,7 +120,7 @@ def _respell(token: str, bit: int) -> str:
             out.append(ch)
         else:
             latin = _as_latin(ch)
-            out.append(latin if bit == 1 else _FROM_LATIN[bit][latin])
+            out.append(latin if bit == LATIN else _FROM_LATIN[bit][latin])
     return "".join(out)
 
 
@@ -102,6 +137,8 @@ def _forms(value: str) -> str:
             out.append(" ")
         elif kind in ("Cf", "Cc") or 0xFE00 <= cp <= 0xFE0F or cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180E:
             continue
+        elif ch in _LOOKALIKES or ch == "µ":
+            out.append(ch)  # its compatibility form would be a letter that it does not look like or, of the sign, a Greek one
         elif 0xFF00 <= cp <= 0xFFEF or kind[0] == "L" and unicodedata.decomposition(ch).startswith(("<compat>", "<font>", "<wide>", "<narrow>")):
             out.append(unicodedata.normalize("NFKC", ch))
         else:
@@ -117,7 +154,7 @@ def _and(token: str, of) -> int:
 
 
 def _best(choices: int, votes: dict[int, int]) -> int:
-    bits = [1 << i for i in range(4) if choices >> i & 1]
+    bits = [b for b in _RESPELLED if choices & b]
     return max(bits, key=lambda b: (votes.get(b, 0), -b)) if bits else 0
 
 

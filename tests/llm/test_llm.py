@@ -128,6 +128,7 @@ def test_pack_whole_and_split(spark):
         ("Ａｃｍｅ　Ｉｎｃ．", "Acme Inc."), ("Ac​me Ltd", "Acme Ltd"), ("Subruteﬁx", "Subrutefix"), ("José", "José"), ("Аcme Соrр", "Acme Corp"),
         ("GmbΗ", "GmbH"), ("ООО Фигрогипарт", "ООО Фигрогипарт"), ("ОО‍О Фирма", "ООО Фирма"), ("Фиpмa", "Фирма"), ("Zoë  Müller", "Zoë  Müller"), ("", ""), ("日本 Ltd", "日本 Ltd"),
         ("СОРЕ Trading Inc", "COPE Trading Inc"), ("L0tus", "L0tus"),
+        ("Ϲompany", "Company"), ("aϲme", "acme"), ("Ꮯompany", "Company"), ("ⲟpen", "open"), ("ꓚompany", "Company"), ("Ω Ltd", "Ω Ltd"), ("ไทยᎠ", "ไทยᎠ"), ("東京カメラのﾃｽﾄ", "東京カメラのテスト"), ("5 µm", "5 µm"),
     ],
 )
 def test_canonical(value, form):
@@ -135,6 +136,15 @@ def test_canonical(value, form):
     assert confusables.canonical(form) == form
 
 
+def test_scripts_have_bits_of_their_own():
+    thai, cherokee, tamil, hangul, coptic, bengali = (confusables._scripts(c) for c in "กᎠதᄀⲀক")
+    assert len({thai, cherokee, tamil, coptic, bengali}) == 5
+    for a, b in itertools.combinations((thai, cherokee, tamil, hangul, coptic, bengali), 2):
+        assert not a & b
+    assert confusables._and("กᎠ", confusables._scripts) == confusables._and("தᄀ", confusables._scripts) == confusables._and("Ⲁক", confusables._scripts) == 0
+    assert confusables._and("日本のカメラ", confusables._scripts) and confusables._and("漢한", confusables._scripts) and not confusables._and("の한", confusables._scripts)
+
+
 EXTRACTIONS = "doc_id string, issuer_name string, recipient_name string, run_ts timestamp"
 
 
