@@ -1,14 +1,19 @@
 """Text from scanned pages repaired into continuous paragraphs (problem 3).
 
-1. Words are counted over all texts. Frequent ones (a share of at least ``SHARE`` of all words, hence at most
-   1 / SHARE of them) are the vocabulary; ordinary words are those that also occur in lower case.
+1. Words are counted over all texts. Frequent ones (their share is ``SHARE`` or more beyond ``SURE`` standard errors,
+   hence at most 1 / SHARE of them) are the vocabulary; ordinary words are those that also occur in lower case.
 2. Skip-gram vectors with negative sampling are learned for the vocabulary from the co-occurrences of the
-   whole corpus, which are counted where the texts are; only the counts move.
-3. A rare word is linked to the frequent words that plausible glyph edits turn it into (equal after folding
-   confused glyphs), and takes the one that fits its context best, if its vector fits at all.
+   whole corpus. These are counted where the texts are, kept as a table with one row a word, and the objective is
+   maximised over all of them, word by word, by Newton steps that alternate between word and context vectors; only
+   vectors, whose number is bounded, reach the driver.
+3. A rare word has the vector of its context: it is linked to the frequent words that plausible glyph edits turn it
+   into (equal after folding confused glyphs), ranked by the affinity of their vectors. That is a log-likelihood
+   ratio: how much likelier the words around are beside the frequent word than elsewhere. Together with how unlikely a
+   chance resemblance is (longer words, signs among letters) it must not be negative. A frequent word is rare here
+   beside one that is ``RATIO`` times as frequent.
 4. Furniture is found per text: page numbers, alone or beside a title, and titles that recur at page tops.
-5. With furniture gone, words divided at line ends are joined unless they are compounds, and lines are
-   reflowed into paragraphs.
+5. With furniture gone, words divided at line ends are joined unless they are compounds, misread words are corrected
+   in context, and lines are reflowed into paragraphs.
 
 Defined results: null and empty texts have no noise and stay; texts are processed whole; a text counts once
 however often its row is repeated; words seen rarely without a frequent neighbour stay as they are.
@@ -21,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +36,17 @@ from paperloom.llm.common import spread
 from paperloom.session import materialize
 
 SHARE = 1e-5
-LEAST = 5
+SURE = 2.0
+RATIO = 100.0
 WINDOW = 3
-DIM = 24
-STEPS = 400
-BATCH = 8192
+DIM = 16
+SWEEPS = 5
+NEWTON = 2
+RIDGE = 1.0
 NEGATIVES = 5
-FITS = -4.0  # least logit of a correction in its context
+SMOOTH = 0.75  # power of the counts that negative samples follow
+# Log odds that a resemblance is no chance, by letters beyond four and for signs among them; bound of each context word's part.
+LETTER, ODD, CLIP = 2.0, 8.0, 3.0
 
 MARKS = "-‐‑\xac\xad"
 SOFT = "‐‑\xac\xad"
@@ -120,6 +128,10 @@ class Vocabulary:
         for i, w in enumerate(words):
             if self.ordinary[i]:
                 self.folded.setdefault(fold_glyphs(w), []).append(i)
+        # Words beside which one that folds alike is so much more frequent that they may be misread from it.
+        self.doubtful = {
+            i for i, w in enumerate(words) if any(h != i and counts[h] >= RATIO * counts[i] for h in self.folded.get(fold_glyphs(w), ()))
+        }
         self.compounds = {fold_glyphs(w) for w in words if "-" in w}
         self.vectors = np.zeros((len(words), DIM), np.float32)
         self.outputs = np.zeros((len(words), DIM), np.float32)
@@ -130,7 +142,8 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     # The row without a word has the number of all words, so that one pass over the texts is enough.
     words = materialize(words)
     total = (words.filter("word IS NULL").select("n").first() or [0])[0]
-    kept = words.filter("word IS NOT NULL").filter(F.col("n") >= max(LEAST, SHARE * total)).toPandas().sort_values("word")
+    sure = F.col("n") - SURE * F.sqrt("n") >= SHARE * total
+    kept = words.filter("word IS NOT NULL").filter(sure).toPandas().sort_values("word")
     return Vocabulary(kept["word"].tolist(), kept["n"].to_numpy(np.int64), kept["lower"].to_numpy(np.int64), total)
 
 
@@ -150,8 +163,8 @@ class _Ids(dict):
         return i
 
 
-def _cooccurrences(texts: DataFrame, vocab: Vocabulary) -> pd.DataFrame:
-    """(key, n): how often two words of the vocabulary stand at most WINDOW words apart; key = i * size + j, i <= j."""
+def cooccurrences(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(i, near): for each word of the vocabulary the words at most WINDOW words from it, with counts; one row a word."""
     shared = texts.sparkSession.sparkContext.broadcast(vocab.index)
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -178,42 +191,73 @@ def _cooccurrences(texts: DataFrame, vocab: Vocabulary) -> pd.DataFrame:
                 key, n = np.unique(key, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=schema.names)
 
-    return texts.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    size = max(len(vocab.words), 1)
+    pairs = texts.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").cast("double").alias("n"))
+    pairs = pairs.select((F.col("key") / size).cast("int").alias("i"), (F.col("key") % size).cast("int").alias("j"), "n")
+    # A word beside itself is seen from both sides.
+    both = pairs.withColumn("n", F.when(F.col("i") == F.col("j"), 2 * F.col("n")).otherwise(F.col("n")))
+    both = both.union(pairs.filter("i <> j").select("j", "i", "n"))
+    return both.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "n"))).alias("near"))
 
 
-def learn_vectors(vocab: Vocabulary, pairs: pd.DataFrame, seed: int = 7) -> None:
-    """Skip-gram with negative sampling: pairs are drawn in proportion to their counts."""
+def newton(now: np.ndarray, counts: np.ndarray, other: np.ndarray, noise: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Vectors of some words after ``NEWTON`` steps towards the maximum of the skip-gram objective, ``other`` being fixed.
+
+    ``counts`` (words, vocabulary) are their co-occurrences; each of them stands against ``NEGATIVES`` draws from ``noise``.
+    """
+    upper = np.triu_indices(DIM)
+    negative = NEGATIVES * counts.sum(1, keepdims=True) * noise
+    for _ in range(NEWTON):
+        p = 1 / (1 + np.exp(-np.clip(now @ other.T, -30, 30)))
+        slope = (counts * (1 - p) - negative * p) @ other - RIDGE * now
+        flat = ((counts + negative) * p * (1 - p)) @ squares
+        curve = np.empty((len(now), DIM, DIM))
+        curve[:, upper[0], upper[1]] = flat
+        curve[:, upper[1], upper[0]] = flat
+        step = np.linalg.solve(curve + RIDGE * np.eye(DIM), slope[:, :, None])[:, :, 0]
+        length = np.linalg.norm(step, axis=1, keepdims=True)
+        now = now + step * np.minimum(1, 2 / np.maximum(length, 1e-9))
+    return now
+
+
+def learn_vectors(vocab: Vocabulary, near: DataFrame, seed: int = 7) -> None:
+    """Skip-gram with negative sampling on all co-occurrences: word and context vectors in turn, words in partitions."""
     size = len(vocab.words)
-    if not size or not len(pairs):
+    if not size:
         return
     rng = np.random.default_rng(seed)
-    key = pairs["key"].to_numpy(np.int64)
-    order = np.argsort(key)
-    key, n = key[order], pairs["n"].to_numpy(np.float64)[order]
-    i, j = key // size, key % size
-    edges = np.cumsum(n)
-    noise = np.cumsum(vocab.counts**0.75)
-    vin = rng.normal(0, 0.1, (size, DIM))
-    vout = np.zeros((size, DIM))
-    gin, gout = np.full((size, 1), 1e-6), np.full((size, 1), 1e-6)
-    for _ in range(STEPS):
-        at = np.searchsorted(edges, rng.random(BATCH) * edges[-1])
-        flip = rng.random(BATCH) < 0.5
-        a, b = np.where(flip, j[at], i[at]), np.where(flip, i[at], j[at])
-        c = np.searchsorted(noise, rng.random((BATCH, NEGATIVES)) * noise[-1])
-        target = np.concatenate([b[:, None], c], axis=1)
-        label = np.zeros((1, 1 + NEGATIVES))
-        label[0, 0] = 1
-        out = vout[target]
-        err = 1 / (1 + np.exp(-np.einsum("bd,bkd->bk", vin[a], out))) - label
-        da = np.zeros_like(vin)
-        np.add.at(da, a, np.einsum("bk,bkd->bd", err, out))
-        do = np.zeros_like(vout)
-        np.add.at(do, target.ravel(), (err[:, :, None] * vin[a][:, None, :]).reshape(-1, DIM))
-        for v, d, g in ((vin, da, gin), (vout, do, gout)):  # AdaGrad by word
-            g += (d * d).mean(1, keepdims=True)
-            v -= 0.3 * d / np.sqrt(g)
-    vocab.vectors, vocab.outputs = vin.astype(np.float32), vout.astype(np.float32)
+    vectors = [rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (size, DIM))]
+    noise = vocab.counts**SMOOTH
+    noise /= noise.sum()
+    near = spread(materialize(near))
+    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    context = near.sparkSession.sparkContext
+    for sweep in range(2 * SWEEPS):
+        side = sweep % 2
+        shared = context.broadcast((vectors[side], vectors[1 - side], noise))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            mine, other, noise = shared.value
+            upper = np.triu_indices(DIM)
+            squares = other[:, upper[0]] * other[:, upper[1]]
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 64):
+                    part = batch.slice(lo, 64)
+                    rows = part.column(0).to_numpy(zero_copy_only=False)
+                    lists = part.column(1)
+                    entries = lists.flatten()
+                    counts = np.zeros((len(rows), len(other)))
+                    of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+                    counts[of, entries.field(0).to_numpy(zero_copy_only=False)] = entries.field(1).to_numpy(zero_copy_only=False)
+                    new = newton(mine[rows], counts, other, noise, squares)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(new), pa.list_(pa.float64()))], names=schema.names)
+
+        # One vector for each word of the vocabulary, at most 1 / SHARE of them.
+        done = near.mapInArrow(run, schema).toPandas()
+        if len(done):
+            vectors[side][done["i"].to_numpy()] = np.stack(done["vector"].to_numpy())
+        shared.unpersist()
+    vocab.vectors, vocab.outputs = (v.astype(np.float32) for v in vectors)
 
 
 # 3. Misread words ----------------------------------------------------------------------------------------
@@ -232,6 +276,9 @@ class _Hits(dict):
         return found
 
 
+_LOG_NEGATIVES = float(np.log(NEGATIVES))
+
+
 class Corrector:
     """Corrections of rare words by glyph edits, chosen and accepted by context."""
 
@@ -253,6 +300,8 @@ class Corrector:
         low = token.lower()
         word = low.strip(_STRIP)
         i = self.vocab.index.get(word, -1)
+        if i in self.vocab.doubtful:
+            return i, tuple(h for h in self.vocab.folded[fold_glyphs(word)] if self.vocab.counts[h] >= RATIO * self.vocab.counts[i])
         if i >= 0 or len(word) < 2:
             return i, ()
         # A stripped sign may itself be a misread letter.
@@ -279,19 +328,22 @@ class Corrector:
         same = sum(a == b for a, b in zip(form, word)) + sum(a == b for a, b in zip(form[::-1], word[::-1]))
         return same >= len(word) * 0.5 and (len(word) > 3 or form[0] == word[0] or form[-1] == word[-1])
 
+    def affinity(self, hits: tuple[int, ...], near: list[int]) -> np.ndarray:
+        """Log-likelihood ratio of the words around, beside each candidate against anywhere."""
+        if not near:
+            return np.zeros(len(hits))
+        # Skip-gram with negative sampling estimates log P(context | word) / P(context) - log(NEGATIVES).
+        terms = self.vocab.outputs[list(hits)] @ self.vocab.vectors[near].T + _LOG_NEGATIVES
+        return np.clip(terms, -CLIP, CLIP).sum(1)
+
     def fits(self, tokens: list[str], at: int, hits: tuple[int, ...]) -> int:
         """The candidate that fits the words around best, or -1."""
         near = [i for k in range(max(0, at - WINDOW), min(len(tokens), at + WINDOW + 1)) if k != at and (i := self.look(tokens[k])[0]) >= 0]
-        word = tokens[at].strip(_STRIP)
-        odd = any(not c.isalpha() for c in word)
-        if not near:
-            return hits[0] if odd or len(word) >= 6 else -1
-        context = self.vocab.vectors[near]
-        score = (self.vocab.outputs[list(hits)] @ context.T).max(1)
+        odd = any(not c.isalpha() for c in tokens[at].strip(_STRIP))
+        chance = np.array([LETTER * (len(self.vocab.words[h]) - 4) for h in hits]) + ODD * odd
+        score = self.affinity(hits, near) + chance
         best = int(score.argmax())
-        length = len(self.vocab.words[hits[best]])
-        need = FITS if odd or length >= 6 else FITS / 4 if length >= 4 else 0.0
-        return hits[best] if score[best] >= need else -1
+        return hits[best] if score[best] >= (0 if near else LETTER) else -1
 
 
 # 4. Furniture --------------------------------------------------------------------------------------------
@@ -443,22 +495,27 @@ def repair(text: str, corrector: Corrector, with_text: bool = True) -> tuple[str
             continue
         out.append(line)
         tails.append(len(line.strip()))
-    misread = False
-    fixed: list[str] = []
-    # Without a text to return, lines need no reflow; context reaches over line ends all the same.
-    for line in _reflow(out, tails) if with_text else [" ".join(out)]:
-        tokens = line.split()
-        hits_of = [corrector.hits[t] for t in tokens]
-        if any(hits_of):
-            for k, hits in enumerate(hits_of):
-                if hits and (best := corrector.fits(tokens, k, hits)) >= 0:
-                    misread = True
-                    tokens[k] = _as_written(tokens[k], corrector.vocab.words[best])
-        fixed.append(" ".join(tokens))
-    for kind, there in (("hyphenation", hyphen), ("misread", misread), ("header", has_header), ("page_number", has_number)):
+    # Context reaches over line ends.
+    tokens = " ".join(out).split()
+    hits_of = [corrector.hits[t] for t in tokens]
+    right: dict[int, str] = {}
+    if any(hits_of):
+        for k, hits in enumerate(hits_of):
+            if hits and (best := corrector.fits(tokens, k, hits)) >= 0:
+                right[k] = tokens[k] = _as_written(tokens[k], corrector.vocab.words[best])
+    for kind, there in (("hyphenation", hyphen), ("misread", bool(right)), ("header", has_header), ("page_number", has_number)):
         if there:
             kinds.append(kind)
-    return "\n".join(fixed).strip("\n"), kinds
+    if not with_text:
+        return "", kinds
+    if right:
+        k = 0
+        for i, line in enumerate(out):
+            n = len(line.split())
+            if any(j in right for j in range(k, k + n)):
+                out[i] = line[: len(line) - len(line.lstrip())] + " ".join(tokens[k : k + n])
+            k += n
+    return "\n".join(" ".join(line.split()) for line in _reflow(out, tails)).strip("\n"), kinds
 
 
 def _as_written(token: str, word: str) -> str:
@@ -509,7 +566,7 @@ def _reflow(lines: list[str], tails: list[int]) -> list[str]:
 def learn(documents: DataFrame, text: str = "raw_text") -> Vocabulary:
     texts = spread(documents.select(F.col(text).alias("text")).filter("text IS NOT NULL AND text <> ''"))
     vocab = vocabulary(texts)
-    learn_vectors(vocab, _cooccurrences(texts, vocab))
+    learn_vectors(vocab, cooccurrences(texts, vocab))
     return vocab
 
 

@@ -382,6 +382,59 @@ def test_scans_planted(spark):
     assert "n" not in text and scans.found(df.limit(0)).count() == 0
 
 
+def _context_corpus(spark):
+    """'dark' stands beside rooms and lamps, never beside titles, where a name that folds to it does."""
+    rng = random.Random(6)
+    rooms = ["the {} room behind the lamp store was empty", "a {} lamp hung over the empty room", "this {} store has no lamp at all"]
+    people = ["dear mr {} please call our office today", "signed by mr {} for our office", "mr {} will call today"]
+    rows = [(f"r{i}", rng.choice(rooms).format(rng.choice(["dark", "large", "quiet"]))) for i in range(600)]
+    rows += [(f"m{i}", rng.choice(people).format(rng.choice(["miller", "potter"]))) for i in range(600)]
+    # Glyphs as scanning confuses them: right only where the word could stand.
+    rows += [(f"wrong{i}", rng.choice(people).format("clark")) for i in range(1)] + [(f"right{i}", rng.choice(rooms).format("clark")) for i in range(2)]
+    return spark.createDataFrame(rows, "doc_id string, raw_text string")
+
+
+def test_context_decides_and_zeroed_vectors_do_not(spark):
+    df = _context_corpus(spark)
+    vocab = scans.learn(df)
+    rows = [r for r in df.collect() if r.doc_id[:5] in ("wrong", "right")]
+
+    def corrected():
+        corrector = scans.Corrector(vocab)
+        return {r.doc_id for r in rows if "misread" in scans.repair(r.raw_text, corrector)[1]}
+
+    assert corrected() == {"right0", "right1"}
+    vocab.vectors, vocab.outputs = np.zeros_like(vocab.vectors), np.zeros_like(vocab.outputs)
+    assert "wrong0" in corrected()
+
+
+def test_skip_gram_objective_rises_to_a_fixed_point():
+    rng = np.random.default_rng(3)
+    size = 30
+    counts = rng.poisson(4, (size, size)).astype(float)
+    counts += counts.T
+    noise = np.full(size, 1 / size)
+    u, v = rng.normal(0, 0.1, (2, size, scans.DIM))
+
+    def objective():
+        s = u @ v.T
+        negative = scans.NEGATIVES * counts.sum(1, keepdims=True) * noise
+        return (counts * np.logaddexp(0, -s)).sum() + (negative * np.logaddexp(0, s)).sum() + scans.RIDGE / 2 * ((u * u).sum() + (v * v).sum())
+
+    upper = np.triu_indices(scans.DIM)
+    seen = [objective()]
+    for _ in range(6):
+        u = scans.newton(u, counts, v, noise, v[:, upper[0]] * v[:, upper[1]])
+        seen.append(objective())
+    assert all(b <= a + 1e-6 for a, b in zip(seen, seen[1:])) and seen[0] - seen[-1] > 1 and seen[-2] - seen[-1] < 1e-3
+
+
+def test_found_and_repaired_agree(spark):
+    df = _scans(spark, [("x", "the committee accepted the mainteriance visit\nand the warehou5e cl-\nerk")])
+    one = {(r.doc_id, k) for r in scans.repaired(df).collect() for k in r.kinds}
+    assert one == {tuple(r) for r in scans.found(df).collect()}
+
+
 # p1 ---------------------------------------------------------------------------------------------------------------
 
 
