@@ -194,9 +194,9 @@ def cooccurrences(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     size = max(len(vocab.words), 1)
     pairs = texts.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").cast("double").alias("n"))
     pairs = pairs.select((F.col("key") / size).cast("int").alias("i"), (F.col("key") % size).cast("int").alias("j"), "n")
-    # A word beside itself is seen from both sides.
-    both = pairs.withColumn("n", F.when(F.col("i") == F.col("j"), 2 * F.col("n")).otherwise(F.col("n")))
-    both = both.union(pairs.filter("i <> j").select("j", "i", "n"))
+    # From both sides (a word beside itself too), in one pass over the texts.
+    sides = F.explode(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))).alias("x")
+    both = pairs.select(sides).select("x.*").groupBy("i", "j").agg(F.sum("n").alias("n"))
     return both.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "n"))).alias("near"))
 
 
