@@ -7,12 +7,18 @@ one an abbreviation of the other, or nickname and name. Merging unions the varia
 initials, and the richer profiles re-enter blocking, until no profiles merge.
 
 A profile with initials instead of words (an abbreviated given name or trade), or a firm's first word alone, can
-fit several others. It waits until the rest is merged and joins only where exactly one profile fits.
-
-Blocking: under the word of a profile that tells most. How telling a word is follows from how many spellings
-have it or a word one typing error from it, so that a mistyped common word doesn't count as rare. Its keys are
-all its one-letter deletions. A block streams through one task in sorted order and is compared with the merged
-profiles of the block, not pair by pair; only a link to the profile that it joined is emitted.
+fit several others. It waits until the rest is merged and joins only where exactly one entity fits; what comes of it
+re-enters blocking in its turn.
+
+Blocking: a profile of several words is keyed by a one-letter deletion of the words that tell most and a letter of
+another slot (its first or second one, or that of the full form of a nickname) or an initial, so that a block holds one
+word beside words of one letter. How telling a word is follows from how many spellings have it, or a word that it is one
+typing error from, or a common word (in ``COMMON`` of all spellings, hence of bounded number) that it abbreviates; a
+mistyped or shortened common word doesn't count as rare. All of it is relative to the number of spellings. A block
+streams through one task, longest profiles first, and meets the merged profiles of the block that have a word like its
+own, not pair by pair; only a link to the profile that it joined is emitted. Profiles of one word are keyed by its
+deletions and their initials, and find what they abbreviate in an aggregate: of each word, and the initials of what
+stands beside it, only the least and the greatest entity are kept, which tells whether there is exactly one.
 
 Defined results: null and empty values are nobody; unreadable values (no regular word of five letters,
 or irregular case) are nobody; repeated values count once; an ambiguous abbreviation is linked only to
@@ -21,10 +27,12 @@ equal abbreviations.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,8 +69,10 @@ NICKNAMES = {
     "walt": "walter", "wendy": "gwendolyn", "will": "william", "willy": "william", "wim": "william willem", "zach": "zachary",
 }
 
-#: Words that at most so many spellings have are always keys of their profiles.
-FEW = 100
+#: Share of the spellings from which on a word counts as common, hence of a bounded number of words.
+COMMON = 1e-3
+#: A slot at most so many times less telling than the best one is a key too.
+NEARLY = 4
 
 _FOLD = str.maketrans("015|!8i", "olsllbl")
 _GROUPS = [("rn", "m"), ("cl", "d"), ("vv", "w")]
@@ -113,6 +123,7 @@ def abbreviates(s: str, w: str) -> bool:
     return all(c in rest for c in s) and (s[-1] == w[-1] or not _VOWELS & set(s[1:]))
 
 
+@lru_cache(1 << 18)
 def alike(a: str, b: str) -> bool:
     if a == b:
         return True
@@ -179,25 +190,26 @@ def parse(value: str) -> tuple[list[str], list[str], list[str]] | None:
 
 
 class Profile:
-    """Slots of variants, initials and marks, as merged so far."""
+    """Slots of variants, initials and marks, as merged so far. Merging makes a new one."""
 
     __slots__ = ("slots", "initials", "marks")
 
-    def __init__(self, slots: list[list[str]], initials: list[str], marks: list[str] = ()):
-        self.slots, self.initials, self.marks = slots, initials, marks
+    def __init__(self, slots, initials, marks=()):
+        self.slots = [frozenset(x) for x in slots]
+        self.initials, self.marks = frozenset(initials), frozenset(marks)
 
     @classmethod
     def load(cls, raw: str) -> Profile:
         return cls(*json.loads(raw))
 
     def dump(self) -> str:
-        return json.dumps([self.slots, self.initials, list(self.marks)], ensure_ascii=False)
+        return json.dumps([sorted(map(sorted, self.slots)), sorted(self.initials), sorted(self.marks)], ensure_ascii=False)
 
     def pairing(self, other: Profile) -> tuple[list[tuple[int, int]], list[int], list[int]]:
         """Slots paired off (equal variants first), and the unpaired ones of either side."""
         left, right = list(range(len(self.slots))), list(range(len(other.slots)))
         pairs = []
-        for test in (lambda a, b: not set(a).isdisjoint(b), lambda a, b: any(alike(x, y) for x in a for y in b)):
+        for test in (lambda a, b: not a.isdisjoint(b), lambda a, b: any(alike(x, y) for x in a for y in b)):
             for i in left[:]:
                 for j in right:
                     if test(self.slots[i], other.slots[j]):
@@ -213,7 +225,7 @@ class Profile:
         if not pairs or not any(max(map(len, self.slots[i])) >= 5 for i, _ in pairs):
             return "", []
         if not left and not right:
-            if len(pairs) == 1 and sorted(set(self.initials)) != sorted(set(other.initials)):
+            if len(pairs) == 1 and self.initials != other.initials:
                 return "", []
             return "same", pairs
         if left and right:
@@ -226,25 +238,35 @@ class Profile:
         missing = [words[i] for i in left or right]
         if len(missing) != len(initials):
             return "", []
-        pool = list(initials)
+        pool = set(initials)
         for variants in missing:
-            firsts = {v[0] for v in variants} | {n[0] for v in variants for n in _NICK.get(v, ())}
-            hit = next((c for c in pool if c in firsts), None)
+            hit = next((c for c in sorted(pool) if c in firsts(variants)), None)
             if hit is None:
                 return "", []
             pool.remove(hit)
         return "weak", pairs
 
-    def merge(self, other: Profile, pairs: list[tuple[int, int]]) -> None:
+    def merge(self, other: Profile, pairs: list[tuple[int, int]]) -> Profile:
+        slots = list(self.slots)
         for i, j in pairs:
-            self.slots[i] = sorted({*self.slots[i], *other.slots[j]})
-        if len(self.slots) > 1:
-            self.initials = sorted({*self.initials, *other.initials})
-        self.marks = sorted({*self.marks, *other.marks})
+            slots[i] = slots[i] | other.slots[j]
+        initials = self.initials | other.initials if len(slots) > 1 else self.initials
+        return Profile(slots, initials, self.marks | other.marks)
+
+
+@lru_cache(1 << 15)
+def _load(raw: str) -> Profile:
+    return Profile.load(raw)
+
+
+def firsts(variants: frozenset[str]) -> set[str]:
+    """Initials that a slot can be abbreviated to."""
+    return {v[0] for v in variants} | {n[0] for v in variants for n in _NICK.get(v, ())}
 
-    @property
-    def weak(self) -> bool:
-        return len(self.slots) == 1
+
+def hints(variants: frozenset[str]) -> set[str]:
+    """Letters of which two slots that are alike have one in common (a typing error can change the first one)."""
+    return firsts(variants) | {v[1] for v in variants if len(v) > 1}
 
 
 def deletions(word: str) -> list[str]:
@@ -268,83 +290,162 @@ def spellings(extractions: DataFrame) -> DataFrame:
     return tidy.withColumn("form", form("name"))
 
 
-def _telling(profiles: DataFrame) -> DataFrame:
-    """(word, weight): spellings with the word or the most frequent word one typing error from it."""
-    words = (
-        profiles.select(F.explode(F.flatten(F.from_json(F.get_json_object("profile", "$[0]"), "array<array<string>>"))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
-    cuts = F.array_distinct(
+_SLOTS = "array<array<string>>"
+
+
+def _slots(profile: str = "profile"):
+    return F.from_json(F.get_json_object(profile, "$[0]"), _SLOTS)
+
+
+def _cuts(word: str = "word"):
+    """A word and all its one-letter deletions; words one typing error apart share one."""
+    return F.array_distinct(
         F.concat(
-            F.array("word"),
+            F.array(word),
             F.transform(
-                F.sequence(F.lit(1), F.length("word")),
-                lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))),
+                F.sequence(F.lit(1), F.length(word)),
+                lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word))),
             ),
         )
     )
-    keyed = words.select("word", "n", F.explode(cuts).alias("cut"))
+
+
+def _telling(profiles: DataFrame) -> DataFrame:
+    """(word, weight): spellings with the word, a common word that it abbreviates, or the most frequent word one typing error from it."""
+    words = materialize(profiles.select(F.explode(F.flatten(_slots())).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    least = COMMON * profiles.count()
+    common: dict[str, list[tuple[str, int]]] = {}
+    for r in words.filter(F.col("n") >= least).collect():  # at most 1 / COMMON x words of a spelling
+        common.setdefault(r.word[0], []).append((r.word, r.n))
+    counts = {w: n for group in common.values() for w, n in group}
+
+    @F.pandas_udf("long")
+    def lifted(values: pd.Series) -> pd.Series:
+        def one(v: str) -> int:
+            short = [n for w, n in common.get(v[0], ()) if len(w) - len(v) >= 2 and abbreviates(v, w)]
+            return max([0, *short, *(counts.get(w, 0) for w in _NICK.get(v, ()))])
+
+        return values.map(one)
+
+    words = words.select("word", F.greatest("n", lifted("word")).alias("n"))
+    keyed = materialize(words.select("word", F.explode(_cuts()).alias("cut"), "n"))
     best = keyed.groupBy("cut").agg(F.max("n").alias("most"))
     return keyed.join(best, "cut").groupBy("word").agg(F.max("most").alias("weight"))
 
 
 def _keyed(profiles: DataFrame) -> DataFrame:
-    """(cut, weak, pid, profile) under the deletions of the most telling slots' variants."""
+    """(block, letter, pid, profile, size) under the deletions of the most telling slots' variants, with letters of the other slots."""
     # An entity can have several profiles, each with keys of its own.
     profiles = profiles.withColumn("rid", F.xxhash64("pid", "profile"))
-    exploded = profiles.select("rid", F.posexplode(F.from_json(F.get_json_object("profile", "$[0]"), "array<array<string>>")).alias("slot", "variants"))
+    exploded = profiles.select("rid", F.posexplode(_slots()).alias("slot", "variants"))
     variants = exploded.select("rid", "slot", F.explode("variants").alias("word"))
     weights = variants.join(_telling(profiles), "word").groupBy("rid", "slot").agg(F.max("weight").alias("weight"))
     least = weights.groupBy("rid").agg(F.min("weight").alias("least"))
-    # A slot nearly as telling as the best one is a key too, and any that few spellings have: a rare short form of a
-    # common word must not hide the word that tells.
-    chosen = weights.join(least, "rid").filter(F.col("weight") <= F.greatest(4 * F.col("least"), F.lit(FEW))).select("rid", "slot")
-    words = variants.filter(F.length("word") >= 3).join(chosen, ["rid", "slot"]).select("rid", "word").distinct()
-    cuts = F.explode(
-        F.concat(
-            F.array("word"),
-            F.transform(
-                F.sequence(F.lit(1), F.length("word")),
-                lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))),
-            ),
-        )
-    )
-    keys = words.select("rid", cuts.alias("cut")).distinct()
-    return keys.join(profiles, "rid").select("cut", "pid", "profile")
+    chosen = weights.join(least, "rid").filter(F.col("weight") <= NEARLY * F.col("least")).groupBy("rid").agg(F.collect_set("slot").alias("chosen"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for pid, raw, slots in zip(frame["pid"], frame["profile"], frame["chosen"]):
+                p = Profile(*json.loads(raw))
+                keys = set()
+                for i in slots:
+                    words = [v for v in p.slots[i] if len(v) >= 3]
+                    if len(p.slots) == 1:
+                        letters = {"." + "".join(sorted(p.initials))}
+                    else:
+                        letters = p.initials.union(*(hints(x) for k, x in enumerate(p.slots) if k != i))
+                    keys.update(itertools.product({c for v in words for c in deletions(v)}, letters))
+                out += [(cut, letter, pid, raw, len(p.slots)) for cut, letter in keys]
+            yield pd.DataFrame(out, columns=["cut", "letter", "pid", "profile", "size"])
+
+    source = spread(profiles.join(chosen, "rid").select("pid", "profile", "chosen"))
+    return source.mapInPandas(run, "cut string, letter string, pid long, profile string, size int")
 
 
 def _stream_links(keyed: DataFrame) -> DataFrame:
     """(a, b, kind): profile ``a`` joined the merged profile that began with ``b``, or is weak and fits it."""
-    ordered = keyed.withColumn("last", F.get_json_object("profile", "$[0][1]").isNull()).repartition("cut").sortWithinPartitions("cut", "last", "pid")
+    order = ["cut", "letter", F.desc("size"), "pid", "profile"]
+    ordered = keyed.repartition("cut", "letter").sortWithinPartitions(*order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, leaders = None, []
+        now, leaders, having = None, [], {}
         for frame in frames:
             out = []
-            for cut, pid, raw in zip(frame["cut"], frame["pid"], frame["profile"]):
-                if cut != now:
-                    now, leaders = cut, []
-                mine = Profile.load(raw)
-                joined = None
-                for lead_id, lead in leaders:
+            for cut, letter, pid, raw in zip(frame["cut"], frame["letter"], frame["pid"], frame["profile"]):
+                if (cut, letter) != now:
+                    now, leaders, having = (cut, letter), [], {}
+                mine = _load(raw)
+                # Words of the slots that brought the profile here; those of leaders are kept with the leaders that have them.
+                words = {v for x in mine.slots if len(letter) > 1 or len(mine.slots) == 1 or letter in hints(x) for v in x}
+                if letter in mine.initials or len(leaders) < 4:
+                    near = range(len(leaders))
+                else:
+                    near = sorted({k for w, at in having.items() if any(alike(v, w) for v in words) for k in at})
+                joined, fits = None, set()
+                for k in near:
+                    lead_id, lead = leaders[k]
                     kind, pairs = lead.match(mine)
                     if kind == "same" and joined is None:
-                        joined = lead
+                        joined = k
                         if lead_id != pid:
                             out.append((pid, lead_id, kind))
-                        lead.merge(mine, pairs)
+                        leaders[k] = lead_id, lead.merge(mine, pairs)
                     elif lead_id == pid:
                         continue
                     elif kind == "same":
                         out.append((pid, lead_id, kind))
-                    elif kind == "weak":
-                        out.append((pid, lead_id, kind) if len(mine.slots) < len(lead.slots) else (lead_id, pid, kind))
+                    elif kind == "weak" and len(fits) < 2 and len(mine.slots) > 1:
+                        if lead_id not in fits:  # two that fit say already that it isn't exactly one
+                            fits.add(lead_id)
+                            out.append((pid, lead_id, kind))
                 if joined is None:
+                    joined = len(leaders)
                     leaders.append((pid, mine))
+                for w in words:
+                    having.setdefault(w, set()).add(joined)
             yield pd.DataFrame(out, columns=["a", "b", "kind"])
 
-    return ordered.select("cut", "pid", "profile").mapInPandas(run, "a long, b long, kind string").distinct()
+    return ordered.select("cut", "letter", "pid", "profile").mapInPandas(run, "a long, b long, kind string").distinct()
+
+
+def _single_fits(profiles: DataFrame) -> DataFrame:
+    """(a, low, high): the least and the greatest entity that a profile of one word fits, with its initials for their other words.
+
+    Without initials a firm's word alone will do, unless it has a person's title.
+    """
+    def offers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = set()
+            for pid, raw in zip(frame["pid"], frame["profile"]):
+                p = Profile.load(raw)
+                for i, x in enumerate(p.slots if len(p.slots) > 1 else ()):
+                    others = {"".join(sorted(set(c))) for c in itertools.product(*(sorted(firsts(y)) for k, y in enumerate(p.slots) if k != i))}
+                    # As many different initials as words are missing.
+                    others = {c for c in others if len(c) == len(p.slots) - 1} | ({""} if "firm" in p.marks else set())
+                    out.update((v, c, pid) for v in x if len(v) >= 3 for c in others)
+            yield pd.DataFrame(list(out), columns=["word", "letters", "pid"])
+
+    def wants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for pid, raw in zip(frame["pid"], frame["profile"]):
+                p = Profile.load(raw)
+                if len(p.slots) == 1 and (p.initials or "title" not in p.marks):
+                    out += [(pid, v, "".join(sorted(p.initials))) for v in p.slots[0] if len(v) >= 3]
+            yield pd.DataFrame(out, columns=["pid", "word", "letters"])
+
+    source = profiles.select("pid", "profile")
+    offered = source.mapInPandas(offers, "word string, letters string, pid long").groupBy("word", "letters")
+    offered = offered.agg(F.min("pid").alias("low"), F.max("pid").alias("high")).select(F.explode(_cuts()).alias("cut"), "letters", "word", "low", "high")
+    wanted = source.mapInPandas(wants, "pid long, word string, letters string").select("pid", F.explode(_cuts()).alias("cut"), F.col("word").alias("mine"), "letters")
+
+    @F.pandas_udf("boolean")
+    def fit(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([max(len(x), len(y)) >= 5 and alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    met = wanted.join(offered, ["cut", "letters"]).select("pid", "mine", "word", "low", "high").distinct()
+    return met.filter(fit("mine", "word")).groupBy(F.col("pid").alias("a")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _merged(profiles: DataFrame, roots: DataFrame) -> DataFrame:
@@ -374,12 +475,9 @@ def _absorb(held: list[Profile], p: Profile) -> None:
     """Merges ``p`` with the first profile that it matches, or appends it."""
     for k, lead in enumerate(held):
         kind, pairs = lead.match(p)
-        if kind == "weak" and len(p.slots) > len(lead.slots):
-            p.merge(lead, [(j, i) for i, j in pairs])
-            held[k] = p
-            return
         if kind:
-            lead.merge(p, pairs)
+            longer = kind == "weak" and len(p.slots) > len(lead.slots)
+            held[k] = p.merge(lead, [(j, i) for i, j in pairs]) if longer else lead.merge(p, pairs)
             return
     held.append(p)
 
@@ -402,17 +500,17 @@ def entities(extractions: DataFrame) -> DataFrame:
     owner = profiles.select(F.col("pid").alias("fid"), "pid")
     while True:
         links = materialize(_stream_links(_keyed(profiles)))
-        same = links.filter("kind = 'same'").select("a", "b")
-        last = same.isEmpty()
-        if last:  # nothing merges any more: abbreviations with exactly one fit join it
-            fits = links.filter("kind = 'weak'").groupBy("a").agg(F.countDistinct("b").alias("n"), F.min("b").alias("b"))
-            same = fits.filter("n = 1").select("a", "b")
-        roots = components(same)
+        merging = links.filter("kind = 'same'").select("a", "b")
+        if merging.isEmpty():  # nothing merges any more: abbreviations that exactly one entity fits join it
+            several = links.filter("kind = 'weak'").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+            fits = several.union(_single_fits(profiles)).filter("low = high AND a <> low")
+            merging = materialize(fits.select("a", F.col("low").alias("b")))
+            if merging.isEmpty():
+                break
+        roots = components(merging)
         owner = materialize(
             owner.join(roots, owner["pid"] == roots["node"], "left").select("fid", F.coalesce("component", "pid").alias("pid"))
         )
-        if last:
-            break
         profiles = materialize(_merged(profiles, roots))
     return names.join(owner, "fid").select("name", F.col("pid").alias("entity"))
 

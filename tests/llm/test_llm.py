@@ -349,6 +349,39 @@ def test_profiles_of_one_entity_are_not_linked_to_themselves(spark):
     assert {(frozenset((r.a, r.b)), r.kind) for r in links} == {(frozenset((1, 2)), "same")}
 
 
+def test_abbreviations_re_enter_blocking(spark):
+    """The short name joins the only firm it fits, and brings its variant of the first word into the next round."""
+    vals = ["Bizikomes Trading Packaging Ltd", "Bizikomess T. P.", "Bizikomesss"]
+    df = spark.createDataFrame([("d", v, None, datetime.datetime(2024, 1, 1)) for v in vals], EXTRACTIONS)
+    assert {frozenset(r) for r in names.found(df).collect()} == {frozenset(p) for p in itertools.combinations(vals, 2)}
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_common_words_hide_nothing_at_any_size(spark, copies):
+    """Variants of people who share surnames and given names, among ever more of them; against the planted groups."""
+    rng = random.Random(4)
+    given = ["Margaret", "Theodore", "Frederick", "Josephine", "Nicholas", "Patricia", "Benjamin", "Samantha"]
+    surnames = ["Karabonte", "Lohubedruck", "Zolimurest", "Tigragrurt", "Bizikomest"] + ["".join(rng.choice("ba du ki lo me ra so tu vi pe fo ga hi ju zo nu we cy".split()) for _ in range(5)).capitalize() + "x" for _ in range(10 * copies)]
+    groups = []
+    for s in surnames:
+        for g in given:
+            typo = s[:3] + s[4] + s[3] + s[5:] if s[3] != s[4] else s[:-1]
+            groups.append([f"{g} {s}", f"{s}, {g}", f"Mr. {g} {s}", f"{g} {typo}"])
+    want = {frozenset(p) for g in groups for p in itertools.combinations(g, 2)}
+    df = spark.createDataFrame([("d", v, None, datetime.datetime(2024, 1, 1)) for g in groups for v in g], EXTRACTIONS)
+    got = {frozenset(r) for r in names.found(df).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_hints_are_complete():
+    """Words that are alike share a hint, so that blocks by hints lose no pair."""
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(400)} | set(names._NICK) | set(names._GIVEN)
+    for a, b in itertools.combinations(sorted(words), 2):
+        if names.alike(a, b):
+            assert names.hints(frozenset([a])) & names.hints(frozenset([b])), (a, b)
+
+
 def test_within1():
     for a, b, ok in [("abc", "abc", True), ("abc", "abd", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "axbc", True), ("abc", "cba", False), ("abcd", "ab", False)]:
         assert names.within1(a, b) == names.within1(b, a) == ok
