@@ -3,7 +3,7 @@
 A linear-chain conditional random field tags the chunks of a text (runs without white space, and line breaks) as
 beginning, continuing or outside an item of one kind. Features are word shapes, digit patterns, marks at either
 end, known words, and how the word occurs in the whole corpus (an ordinary word, a frequent name or label, or
-rare), each for the chunk and its two neighbours on either side. The field is trained by maximum likelihood
+rare), each for the chunk and its three neighbours on either side. The field is trained by maximum likelihood
 on the small labelled table of ``pii_samples`` (its size is a parameter) and decoded by Viterbi over padded batches
 of texts. An exact check of form follows (an e-mail address has a host, a phone number enough digits and so on).
 
@@ -13,8 +13,11 @@ several times in a document is one row of ``found``, and every occurrence is rep
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from paperloom.llm.common import spread
 KINDS = ("email", "phone", "identity", "address", "name")
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 L = len(LABELS)
-ROLES = (-2, -1, 0, 1, 2)
-SAMPLES = 2000
+REACH = 3  # chunks on either side whose features count
+ROLES = tuple(range(-REACH, REACH + 1))
+SAMPLES = 3000
 EPOCHS = 36
 BREAK = "⏎"
 _PUNCT = ".,;:()<>[]{}\"'|!?-–—*#"
@@ -115,21 +119,21 @@ class Kinds:
         return "o" if core in self.ordinary else "c" if core in self.frequent else "r"
 
 
-def _sample_kinds() -> Kinds:
+def _sample_kinds(seed: int = 11) -> Kinds:
     """The same for the labelled table, whose own counts are too small to tell."""
     words = re.compile(r"[^\W\d_]+")
     ordinary, frequent = set(), set()
     slots = re.compile(r"\{\w+\}")
     m = pii_samples.Maker(1)
     literal = " ".join(slots.sub(" ", t) for t in pii_samples.HEADS + pii_samples.FIELDS + pii_samples.SENTENCES)
-    literal += " " + " ".join(pii_samples.GOODS + pii_samples.KINDS + pii_samples.TEAMS) + " " + " ".join(m.LABEL() for _ in range(400))
+    literal += " " + " ".join(pii_samples.GOODS + pii_samples.KINDS + pii_samples.TEAMS + pii_samples.VERBS) + " " + " ".join(m.LABEL() for _ in range(400))
     literal += " ".join(pii_samples.ROMANCE_STREETS) + " de du des la van der von di da bis ter one two three four five six seven eight nine ten eleven twelve mr mrs ms dr prof"
     for w in words.findall(literal):
         ordinary.add(w.lower())
     for w in words.findall(" ".join(pii_samples.TRADES + pii_samples.FORMS + pii_samples.MONTHS + pii_samples.STREETS + pii_samples._PLACES)):
         if w.lower() not in ordinary:
             frequent.add(w.lower())
-    frequent |= _GIVEN - ordinary
+    frequent |= (_GIVEN | {w.lower() for w in pii_samples.Maker(seed).pool}) - ordinary
     return Kinds(ordinary, frequent)
 
 
@@ -175,15 +179,16 @@ def _forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) ->
     return marginal, expected, logz
 
 
-def train(n: int = SAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Model:
+@lru_cache(4)
+def train(n: int = SAMPLES, epochs: int = EPOCHS, seed: int = 11, which: str = "all") -> Model:
     """Maximum likelihood with L2 by Adam, on ``n`` labelled samples."""
-    kinds = _sample_kinds()
+    kinds = _sample_kinds(seed)
     streets = {x for w in pii_samples.STREETS + pii_samples.ROMANCE_STREETS for x in (w, w.lower(), w.capitalize(), w.upper(), w.strip("."))}
     rng = np.random.default_rng(seed)
     seqs: list[tuple[list[int], list[int]]] = []
     types: dict[tuple[str, str], int] = {}
     counts: dict[str, int] = {}
-    for text, spans in pii_samples.samples(n, seed):
+    for text, spans in pii_samples.samples(n, seed, which):
         ids, tags, at = [], [], 0
         for chunk in chunks(text):
             if chunk == BREAK:
@@ -202,6 +207,8 @@ def train(n: int = SAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Model:
             kind = kinds(nine)
             if nine.strip(_PUNCT) in streets:
                 kind = "ocr"[rng.integers(3)]  # corpora differ in how they use street words
+            elif kind == "o" and nine[0].isupper() and rng.random() < 0.2:
+                kind = "c"  # words that only ever begin a line are hardly in lower case
             elif kind in "oc" and rng.random() < (0.03 if kind == "o" else 0.15):
                 kind = "r"  # misread words, and names that a small corpus has seldom
             elif kind == "r" and rng.random() < 0.06:
@@ -243,10 +250,10 @@ def train(n: int = SAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Model:
         part = seqs[lo : lo + size]
         lengths = np.array([len(s[0]) for s in part])
         steps = lengths.max()
-        ids = np.full((len(part), steps + 4), pad)
+        ids = np.full((len(part), steps + 2 * REACH), pad)
         tags = np.zeros((len(part), steps), np.int64)
         for i, (a, b) in enumerate(part):
-            ids[i, 2 : 2 + len(a)] = a
+            ids[i, REACH : REACH + len(a)] = a
             tags[i, : len(b)] = b
         live = np.arange(steps) < lengths[:, None]
         gold = np.zeros((*tags.shape, L), np.float32)
@@ -266,12 +273,12 @@ def train(n: int = SAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Model:
             ids, lengths, gold, pairs = batches[k]
             r = np.concatenate([np.add.reduceat(w[of_feature], type_starts, axis=0), np.zeros((1, w.shape[1]), np.float32)]).reshape(-1, len(ROLES), L)
             steps = gold.shape[1]
-            e = sum(r[ids[:, 2 + d : 2 + d + steps], q] for q, d in enumerate(ROLES))
+            e = sum(r[ids[:, REACH + d : REACH + d + steps], q] for q, d in enumerate(ROLES))
             marginal, expected, _ = _forward_backward(e, lengths, trans)
             diff = (gold - marginal).reshape(-1, L)
             g_type = np.zeros((pad + 1, len(ROLES), L), np.float32)
             for q, d in enumerate(ROLES):
-                flat = ids[:, 2 + d : 2 + d + steps].ravel()
+                flat = ids[:, REACH + d : REACH + d + steps].ravel()
                 for lab in range(L):
                     g_type[:, q, lab] = np.bincount(flat, diff[:, lab], pad + 1)
             g = np.add.reduceat(g_type[:pad].reshape(pad, -1)[by_feature], starts, axis=0)
@@ -352,13 +359,13 @@ class Tagger:
             steps = len(seqs[group[-1]])
             if not steps:
                 continue
-            ids = np.zeros((len(group), steps + 4), np.int32)
+            ids = np.zeros((len(group), steps + 2 * REACH), np.int32)
             for r, i in enumerate(group):
-                ids[r, 2 : 2 + len(seqs[i])] = seqs[i]
+                ids[r, REACH : REACH + len(seqs[i])] = seqs[i]
             e = self.scores[ids[:, 0:steps], 0]
             for q, d in enumerate(ROLES[1:], 1):
-                e += self.scores[ids[:, 2 + d : 2 + d + steps], q]
-            e[:, :, 0] += np.where(ids[:, 2 : 2 + steps] == 0, 1e4, 0)
+                e += self.scores[ids[:, REACH + d : REACH + d + steps], q]
+            e[:, :, 0] += np.where(ids[:, REACH : REACH + steps] == 0, 1e4, 0)
             tags = decode(e, self.model.transitions)
             rows, cols = np.nonzero((tags % 2 == 1))
             for r, c in zip(rows.tolist(), cols.tolist()):
@@ -481,27 +488,37 @@ def key_of(s: str) -> str:
 
 
 def corpus_kinds(texts: DataFrame) -> Kinds:
-    """From counts over all texts (the frequent words are bounded in number, see ``scans``).
-
-    Words that the labelled table knows keep their kind where a small corpus can't tell.
-    """
-    vocab, known = scans.vocabulary(texts), _sample_kinds()
-    ordinary = {w for w, o in zip(vocab.words, vocab.ordinary) if o} | known.ordinary
-    return Kinds(ordinary, (set(vocab.words) | known.frequent) - ordinary)
-
-
-def _tagger(documents: DataFrame, text: str, samples: int):
+    """From counts over all texts (the frequent words are bounded in number, see ``scans``)."""
+    vocab = scans.vocabulary(texts)
+    ordinary = {w for w, o in zip(vocab.words, vocab.ordinary) if o}
+    return Kinds(ordinary, set(vocab.words) - ordinary)
+
+
+def fitted(samples: int = SAMPLES, path: str | None = None) -> Model:
+    """The model, trained once a process; or read from ``path`` and written there where it is missing (any mounted folder)."""
+    if path and os.path.exists(path):
+        with np.load(path, allow_pickle=False) as saved:
+            return Model({f: i for i, f in enumerate(saved["features"].tolist())}, saved["weights"], saved["transitions"])
+    model = train(samples)
+    if path:
+        part = f"{path}.{uuid.uuid4().hex}.npz"
+        np.savez(part, features=np.array(sorted(model.index, key=model.index.get)), weights=model.weights, transitions=model.transitions)
+        os.replace(part, path)
+    return model
+
+
+def _tagger(documents: DataFrame, text: str, samples: int, path: str | None):
     texts = spread(documents.select(F.col(text).alias("text")).filter("text IS NOT NULL AND text <> ''"))
-    return documents.sparkSession.sparkContext.broadcast((train(samples), corpus_kinds(texts)))
+    return documents.sparkSession.sparkContext.broadcast((fitted(samples, path), corpus_kinds(texts)))
 
 
 def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
     return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL AND text <> ''"))
 
 
-def found(documents: DataFrame, key: str = "doc_id", text: str = "raw_text", samples: int = SAMPLES) -> DataFrame:
+def found(documents: DataFrame, key: str = "doc_id", text: str = "raw_text", samples: int = SAMPLES, path: str | None = None) -> DataFrame:
     """(key, pii_type, pii_key): each different item of a document once."""
-    shared = _tagger(documents, text, samples)
+    shared = _tagger(documents, text, samples, path)
     source = _source(documents, key, text)
     schema = T.StructType([T.StructField(key, source.schema["key"].dataType), T.StructField("pii_type", T.StringType()), T.StructField("pii_key", T.StringType())])
 
@@ -549,9 +566,9 @@ def redact(text: str, items: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[last:]
 
 
-def redacted(documents: DataFrame, key: str = "doc_id", text: str = "raw_text", samples: int = SAMPLES) -> DataFrame:
+def redacted(documents: DataFrame, key: str = "doc_id", text: str = "raw_text", samples: int = SAMPLES, path: str | None = None) -> DataFrame:
     """(key, redacted): one row for each row with text."""
-    shared = _tagger(documents, text, samples)
+    shared = _tagger(documents, text, samples, path)
     source = _source(documents, key, text)
     schema = T.StructType([T.StructField(key, source.schema["key"].dataType), T.StructField("redacted", T.StringType())])
 

@@ -1,40 +1,49 @@
 """The small labelled table that the tagger of personal information is trained on.
 
-Business sentences, form fields and letterheads with slots; slots are filled with invented values. Each slot is
-one labelled item, everything else is unlabelled, including the look-alikes (order numbers, companies, amounts).
+Letters, forms and notes with slots; slots are filled with invented values. Each slot is one labelled item,
+everything else is unlabelled, including the look-alikes (order numbers, companies, amounts). Frames, goods,
+trades and values are made here and belong to no given table; labels of forms are the usual ones. Every fifth
+frame can be held out, to measure on frames that were not trained on.
 """
 
 from __future__ import annotations
 
 import random
 
-# Public given names, street words and trades, used in samples and as word lists of the features.
+# Common given names of several countries and street words, used in samples and as word lists of the features.
 GIVEN = (
-    "Anna Anne Maria Marie Julia Laura Sarah Emma Sofia Elena Clara Paula Irene Teresa Rosa Carmen Lucia Isabel Ines Alice "
-    "Margaret Elizabeth Katherine Catherine Susannah Susan Deborah Patricia Barbara Linda Nancy Karen Helen Ruth Sharon Diane "
-    "Amara Priya Nadia Fatima Aisha Leila Yuki Mei Ewa Wanda Marta Helga Ingrid Astrid Greta Josephine Samantha Gabriela Anneke Renée "
-    "Geneviève Zoë Chloé Begoña Łucja Agnieszka Olga Irina Tatiana Natasha John James William Robert Michael David Richard Thomas "
-    "Charles Christopher Daniel Matthew Anthony Mark Paul Steven Andrew Kenneth George Edward Brian Peter Henry Walter Arthur Frank "
-    "Frederick Friedrich Theodore Benjamin Nicholas Alexander Oliver Samuel Jürgen Hans Klaus Karl Johannes Oskar Otto Piet Søren Lars "
-    "Erik Bjørn Dmitri Ivan Boris Sergei Yusuf Hamid Omar Ali Kenji Hiroshi Wei Guillermo José Juan Carlos Luis Miguel Francisco Tomás "
-    "Lorenzo Marco Luca Giovanni Paolo Léon Pierre Jean Jacques Michel André Bob Tom Mike Nick Fred Theo Ted Danny Liz Kate Beth"
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Donald Steven Paul Andrew Joshua "
+    "Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Benjamin Samuel "
+    "Gregory Frank Alexander Raymond Patrick Jack Dennis Jerry Peter Henry Arthur Walter Oliver Theodore Frederick Simon Martin Philip Hugh Ian "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle "
+    "Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Kathleen Amy Angela Anna Emma Helen Ruth Katherine Catherine Alice "
+    "Jean Pierre Michel André Philippe Alain Nicolas François Julien Camille Chloé Hélène Renée Zoë Claire Monique Sylvie Jürgen Hans Klaus Wolfgang "
+    "Stefan Karl Friedrich Ursula Ingrid Monika Sabine Petra Heike José Antonio Manuel Francisco Juan Javier Carlos Miguel María Carmen Ana Isabel "
+    "Lucía Pilar Teresa João Pedro Luís Rita Giuseppe Giovanni Mario Luigi Paolo Marco Giulia Chiara Francesca Piet Willem Anneke Lars Erik Søren "
+    "Bjørn Astrid Ewa Piotr Agnieszka Łukasz Ivan Dmitri Sergei Olga Natalia Tatiana Ali Omar Fatima Aisha Mei Wei Hiroshi Yuki Priya Raj Bob Tom Kate"
 ).split()
-STREETS = "Street Avenue Plaza Road Lane Drive Court Way Place Terrace Crescent Boulevard Highway Square Close Parkway St. Ave. Rd. Ave Rd Blvd Dr. Ln. Ct.".split()
+STREETS = "Street Avenue Road Lane Drive Court Way Place Terrace Crescent Boulevard Highway Square Close Parkway Plaza St. Ave. Rd. Ave Rd Blvd Dr. Ln. Ct.".split()
 ROMANCE_STREETS = "rue|avenue|boulevard|place|chemin|allée|impasse|quai|calle|avenida|plaza|paseo|camino|via|viale|piazza|corso|rua|travessa|largo".split("|")
 GERMAN_STREETS = "straße strasse weg allee gasse platz ring damm ufer".split()
 TRADES = (
-    "International Trading|Catering|Freight Services|Consulting Group|Data Systems|Transport|Packaging|Printing|Engineering|Legal Associates|"
-    "Medical Center|Research Laboratories|Property Management|Office Supply|Insurance Agency|Media Services|Brothers Foods|Tool Manufacturing|"
-    "Paper Company|Chemical Industries|Electrical Contractors|Technical Institute|Laboratory Equipment|Advertising Associates|Steel Works|Logistics|Pharma|Motors|Travel Agency|Bank"
+    "Bakery|Plumbing|Timber Yard|Optics|Dairy|Textiles|Glassworks|Marine Supplies|Roofing|Garden Centre|Dental Clinic|Book Sellers|Auto Parts|Cold Storage|Film Studios|Stationers|"
+    "Pharmacy|Shoe Repair|Coach Hire|Software House|Brewery|Stone Masons|Flooring|Sign Writers|Seed Merchants|Upholstery|Fisheries|Tea Importers|Toy Makers|Rubber Goods|Bridge Builders|Veterinary Surgeons"
 ).split("|")
 FORMS = "Inc. LLC Ltd Limited Corporation Company PLC GmbH B.V. S.A. LLP Co. AG".split()
 MONTHS = "January February March April May June July August September October November December".split()
 GOODS = (
-    "packing list|software licence|training session|survey booklet|freight charge|inspection certificate|purchase order|service contract|monthly statement|travel voucher|"
-    "laboratory report|equipment lease|print run|credit note|deposit|insurance premium|progress report|sample shipment|carton label|warehouse receipt"
+    "garden hose|desk lamp|water filter|spare tyre|printer ribbon|oak table|rain coat|kettle lid|brass hinge|paint roller|bicycle pump|steel ladder|wall clock|door mat|window blind|"
+    "coffee grinder|picture frame|lawn mower|fire blanket|snow shovel|torch battery|curtain rail|kitchen scale|paper shredder|tool chest"
+).split("|")
+KINDS = "blue heavy spare second-hand wooden folding portable broken cheap imported sturdy narrow rusty painted compact vintage".split()
+TEAMS = "despatch stores laundry catering reception studio workshop library kitchen transport nursery canteen showroom".split()
+VERBS = "sold bought painted washed carried climbs sings fed mended hides folded opens lost found weighs kept wants returned borrowed missed likes fills drew shows locked".split()
+# Usual labels of identity numbers.
+ID_LABELS = (
+    "SSN|SSN:|Social Security|Social Security No.|Social Security Number:|social security number|Soc. Sec. No.|Soc Sec|S.S.N.|National Insurance|National Insurance No.|National Insurance number|NI number|NI No.|NINO|NINO:|Nat. Ins. No.|"
+    "passport|Passport:|Passport No.|passport no.|passport number|DNI|DNI:|NIE|NIE:|NIF|CPF|BSN|PESEL|national ID|national ID no.|ID card no.|identity card|identity card no.|driving licence|driving licence no.|driver's license|"
+    "Driver's Lic. #|DL No.|DL no.|Steuer-ID|codice fiscale|tax ID|personal tax ID|TIN|taxpayer ID|taxpayer ID:|taxpayer identification number|personal number"
 ).split("|")
-KINDS = "second overdue approved corrected disputed incomplete preliminary urgent partial confidential outstanding duplicate revised missing unsigned".split()
-TEAMS = "marketing accounting shipping payroll purchasing compliance engineering research treasury legal maintenance archive distribution procurement".split()
 
 _SYLLABLES = "ba be bo bri bru da de di do dra dro fa fe fi fo fu ga ge go gra gro ha he hi ho hu ka ke kla klo ko la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po ra re ri ro ru sa se si so su ta te ti to tra tri tu va ve vi vo vu za ze zi zo zu".split()
 _ENDINGS = "n r s t x ck nd st rt l m ff tt son sen man er berg ez is ard".split()
@@ -47,6 +56,8 @@ class Maker:
 
     def __init__(self, seed: int = 11):
         self.r = random.Random(seed)
+        #: Given names that no list knows.
+        self.pool = sorted({self.made(1, 2) for _ in range(120)})
 
     def pick(self, items):
         return self.r.choice(items)
@@ -60,6 +71,9 @@ class Maker:
             word = word.replace("o", "ö", 1) if self.r.random() < 0.5 else word.replace("e", "é", 1)
         return word.capitalize()
 
+    def given(self) -> str:
+        return self.pick(GIVEN) if self.r.random() < 0.6 else self.pick(self.pool)
+
     def surname(self) -> str:
         s = self.made()
         if self.r.random() < 0.07:
@@ -69,37 +83,37 @@ class Maker:
         return s
 
     def NAME(self) -> str:
-        x, g, s = self.r.random(), self.pick(GIVEN) if self.r.random() < 0.88 else self.made(1, 2), self.surname()
+        x, g, s = self.r.random(), self.given() if self.r.random() < 0.95 else self.made(1, 2), self.surname()
         if x < 0.5:
             n = f"{g} {s}"
         elif x < 0.64:
             n = f"{g} {self.pick('ABCDEFGHJKLMPRSTVW')}. {s}"
         elif x < 0.76:
             n = f"{self.pick('ABCDEFGHJKLMPRSTVW')}. {s}"
-        elif x < 0.9:
+        elif x < 0.87:
             n = f"{s}, {g}" + (f" {self.pick('ABCDEFGHJKLM')}." if self.r.random() < 0.15 else "")
         elif x < 0.95:
             n = f"{s}"
             return self.pick(["Mr ", "Mrs ", "Ms ", "Dr ", "Mr. ", "Mrs. ", "Dr. ", "Prof. "]) + "\1" + n
         else:
             n = f"{self.pick('ABCDEFGHJKLMPRSTVW')}. {self.pick('ABCDEFGHJKLM')}. {s}"
-        if self.r.random() < 0.12:
+        if self.r.random() < 0.15:
             n = n.upper()
         return (self.pick(["Mr ", "Ms ", "Dr. ", "Mrs. "]) + "\1" + n) if self.r.random() < 0.04 else n
 
     def FIRST(self) -> str:
-        return self.pick(GIVEN)
+        return self.given()
 
     def COMPANY(self) -> str:
         x = self.r.random()
         if x < 0.18:
             return f"{self.made()} & {self.pick(['Partners', 'Sons', self.made(), 'Brothers'])} {self.pick(['LLP', 'Ltd', 'Inc.'])}"
         if x < 0.24:
-            return f"{self.pick(GIVEN)} {self.made()} {self.pick(FORMS)}"
+            return f"{self.given()} {self.made()} {self.pick(FORMS)}"
         if x < 0.27:
-            return f"ООО {self.pick(['Пагехипенд', 'Фигрогипарт', 'Намукодон', 'Бусемакист'])}"
+            return "ООО " + "".join(self.pick("ба во ги ду жи зо ка ле ми но пу ра су ти фо ху".split()) for _ in range(4)).capitalize()
         c = f"{self.pick(['The ', 'Port ', '', '', '', ''])}{self.made()} {self.pick(TRADES)}"
-        c += " " + self.pick(FORMS) if self.r.random() < 0.85 else ""
+        c += " " + self.pick(FORMS) if self.r.random() < 0.75 else ""
         if self.r.random() < 0.12:
             words = c.split(" ")
             k = self.r.randrange(1, len(words))
@@ -138,14 +152,16 @@ class Maker:
 
     def PHONE(self) -> str:
         d = self.digits
-        area, sep = self.pick([f"({d(3)}) 555-0{d(3)}", f"{d(3)}-555-0{d(3)}", f"{d(3)}.555.0{d(3)}", f"{d(3)} 555 0{d(3)}", f"({d(3)}) 555 0{d(3)}", f"{d(3)}/555-0{d(3)}", f"1-{d(3)}-555-0{d(3)}", f"+1 {d(3)} 555 0{d(3)}"]), self.r.random()
-        if sep < 0.5:
-            return area
-        if sep < 0.56:
-            return self.pick([f"555-0{d(3)}", f"555 0{d(3)}"])
+        x, lead = self.r.random(), self.pick("23456789")
+        if x < 0.5:
+            return self.pick(
+                [f"({d(3)}) {lead}{d(2)}-{d(4)}", f"{d(3)}-{lead}{d(2)}-{d(4)}", f"{d(3)}.{lead}{d(2)}.{d(4)}", f"{d(3)} {lead}{d(2)} {d(4)}", f"({d(3)}) {lead}{d(2)} {d(4)}", f"{d(3)}/{lead}{d(2)}-{d(4)}", f"1-{d(3)}-{lead}{d(2)}-{d(4)}", f"+1 {d(3)} {lead}{d(2)} {d(4)}", f"+1 {d(3)} {lead}{d(2)}-{d(4)}"]
+            )
+        if x < 0.62:
+            return self.pick([f"{lead}{d(2)}-{d(4)}", f"{lead}{d(2)} {d(4)}"])
         return self.pick(
-            [f"+44 20 7946 0{d(3)}", f"020 7946 0{d(3)}", f"07700 900{d(3)}", f"+44 7700 900 {d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"01 99 00 {d(2)} {d(2)}", f"+49 30 23125 {d(3)}", f"0049 30 23125 {d(3)}",
-             f"030/23125-{d(3)}", f"+61 (2) 5550 0{d(3)}", f"(02) 5550 0{d(3)}", f"+34 91 {d(3)} {d(2)} {d(2)}", f"+351 21 {d(3)} {d(4)}", f"+{d(11)}", f"{d(10)}"]
+            [f"+44 {d(2)} {d(4)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(4)} {d(6)}", f"+44 {d(4)} {d(3)} {d(3)}", f"+33 {lead} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{lead} {d(2)} {d(2)} {d(2)} {d(2)}", f"+49 {d(2)} {d(5)} {d(3)}", f"0049 {d(2)} {d(5)} {d(3)}",
+             f"0{d(2)}/{d(5)}-{d(3)}", f"+61 ({lead}) {d(4)} {d(4)}", f"(0{lead}) {d(4)} {d(4)}", f"+34 {d(2)} {d(3)} {d(2)} {d(2)}", f"+351 {d(2)} {d(3)} {d(4)}", f"+{d(11)}", f"{d(10)}"]
         )
 
     def _host(self) -> list[str]:
@@ -174,19 +190,16 @@ class Maker:
         return self.pick(
             [f"{d(3)}-{d(2)}-{d(4)}"] * 4 + [f"{d(3)} {d(2)} {d(4)}"] * 3 + [d(9)] * 2
             + [f"{u()}{u()}{d(7)}", f"{u()}{u()} {d(2)} {d(2)} {d(2)} {u()}", f"{u()}{u()}{d(6)}{u()}", f"{d(8)}{u()}", f"{d(8)}{u()}", f"{u()}{d(4)}-{d(5)}-{d(2)}",
-               f"{d(2)} {d(3)} {d(3)} {d(3)}", d(11), f"{u()}{d(8)}", f"{u()}{d(7)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"]
+               f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", d(11), f"{u()}{d(8)}", f"{u()}{d(7)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"]
         )
 
     def LABEL(self) -> str:
-        return self.pick(
-            ["SSN", "SSN:", "S.S.N.", "SSN is", "SSN (last entry)", "Social Security", "Social Security No.", "Social Security Number:", "Social Security Nr", "social security number is", "Soc Sec", "soc. sec.", "Soc. Sec. #",
-             "National Insurance number", "National Insurance No.", "Nat. Ins. No.", "NI number", "NI No.", "NINO:", "passport no.", "Passport:", "passport", "Passport No", "holder of passport", "DNI", "DNI:", "national ID", "national ID no.",
-             "identity card no.", "identity card", "ID card no.", "Driver's Lic. #", "DL no.", "driving licence", "driving licence no.", "driver's license", "personal tax ID", "tax ID", "taxpayer identification number", "taxpayer ID:", "Steuer-ID", "NIF", "NIE:", "CPF", "codice fiscale"]
-        )
+        whose = self.pick(["her ", "his ", "my ", "your "]) if self.r.random() < 0.12 else ""
+        return whose + self.pick(ID_LABELS) if self.r.random() < 0.8 else whose + self.pick(["SSN", "NI number", "Passport No.", "DNI"])
 
     def REF(self) -> str:
         d = self.digits
-        return self.pick([f"PO{d(6)}", d(6), f"{d(4)}-{self.pick('ABCD')}", f"{d(3)}/{d(3)}", f"{d(3)}-{d(2)}-{d(4)}", f"{self.pick('ABCDFGHKLMNPQ')}{self.pick('BCDFGHKLMXZ')}-{d(6)}", d(10), f"{d(4)}-555-{d(3)}"])
+        return self.pick([f"PO{d(6)}", d(6), f"{d(4)}-{self.pick('ABCD')}", f"{d(3)}/{d(3)}", f"{d(3)}-{d(4)}" if self.r.random() < 0.4 else d(7), d(11), d(12), f"{d(3)}-{d(2)}-{d(4)}", f"{self.pick('ABCDFGHKLMNPQ')}{self.pick('BCDFGHKLMXZ')}-{d(6)}", d(10), f"{d(4)}-555-{d(3)}"])
 
     def MONEY(self) -> str:
         return self.pick(["$", "$", "£", "USD ", "", "€"]) + f"{self.r.randint(1, 9999):,}.{self.digits(2)}"
@@ -201,6 +214,9 @@ class Maker:
     def TEAM(self) -> str:
         return self.pick(TEAMS)
 
+    def VERB(self) -> str:
+        return self.pick(VERBS)
+
     def NUM(self) -> str:
         return str(self.r.randint(1, 99))
 
@@ -216,36 +232,40 @@ LABELLED = {"NAME": "name", "FIRST": "name", "ADDRESS": "address", "PHONE": "pho
 
 HEADS = [
     "{COMPANY}\n{ADDRESS}{UNIT}\n{CITY}\n", "{NAME}\n{ADDRESS}{UNIT}\n{CITY}\n", "{COMPANY}\n{BOX}, {CITY}\n", "{NAME}\n{BOX}, {CITY}\n", "{NAME}\nFax {PHONE}\n", "{NAME}\nTel. {PHONE}\n", "{NAME}\nINVOICE\n",
-    "{COMPANY}\nTelephone: {PHONE}\n", "{COMPANY}\nPhone {PHONE}\n", "{COMPANY}\n{PHONE}\n", "{COMPANY}\nmail {EMAIL}\n", "{COMPANY}\n{EMAIL}\n", "{COMPANY}\nE-mail: {EMAIL}\n", "{COMPANY} - {GOOD}\n", "{ADDRESS}{UNIT}\n{CITY}\nTel. {PHONE}\n",
-    "{ADDRESS}{UNIT}\n{CITY}\n{EMAIL}\n", "Page {NUM} of {NUM}\n{NAME}\n{ADDRESS}{UNIT}\n", "- {NUM} -\n{COMPANY}\n{NAME}\n", "{COMPANY}\n{COMPANY}\n{ADDRESS}{UNIT}\n{CITY}\n", "{TEAM} file {REF}   {DATE}\n{NAME}\n", "{TEAM} file {REF}   {DATE}\n{COMPANY}\n",
-    "Saint {STREETISH}, {STREETISH} {NUM}\n", "CONFIDENTIAL / {GOOD}\n{NAME}\n",
+    "{COMPANY}\nTelephone: {PHONE}\n", "{COMPANY}\nPhone {PHONE}\n", "{COMPANY}\n{PHONE}\n", "{COMPANY}\nE-mail: {EMAIL}\n", "{COMPANY}\n{EMAIL}\n", "{COMPANY}\nmail {EMAIL}\n", "{COMPANY} - {GOOD}\n", "{ADDRESS}{UNIT}\n{CITY}\nTel. {PHONE}\n", "{COMPANY}\n{GOOD} list\n", "{GOOD} report\n{NAME}\n",
+    "{ADDRESS}{UNIT}\n{CITY}\n{EMAIL}\n", "Page {NUM} of {NUM}\n{NAME}\n{ADDRESS}{UNIT}\n", "- {NUM} -\n{COMPANY}\n{NAME}\n", "{COMPANY}\n{COMPANY}\n{ADDRESS}{UNIT}\n{CITY}\n", "{TEAM} sheet {REF}   {DATE}\n{NAME}\n", "{TEAM} sheet {REF}   {DATE}\n{COMPANY}\n",
+    "New {STREETISH}, {STREETISH} {NUM}\n", "PRIVATE / {GOOD}\n{NAME}\n", "{COMPANY}\nFORM {REF}\n", "{TEAM} RECORD {REF}\n",
 ]
 FIELDS = [
-    "Bill To: {NAME}\n", "Bill To: {COMPANY}\n", "Bill To: {COMPANY}\nAttn: {NAME}\n{ADDRESS}{UNIT}\n{CITY}\n", "Sold to {NAME}\n", "Sold to {COMPANY}\n", "Sold to {NAME}\nAttn: {NAME}\n", "Client: {NAME}\n", "Client: {COMPANY}\n", "To: {NAME}\n", "To: {COMPANY}\n",
-    "Attn: {NAME}\n", "Attn: {NAME}\n{BOX}, {CITY}\n", "Attn: {NAME}\nTel. {PHONE}\n", "From: {NAME} <{EMAIL}>\nTo: {NAME}\nSent: {DATE}\nSubject: {GOOD} {REF}\n", "From: {NAME} {EMAIL}\nTo: {NAME}\n", "From: {NAME}\nTo: {NAME}\nCc: {NAME}\n", "From: {NAME} <{EMAIL}>\nTo: {FIRST}\n",
-    "Employee: {NAME}\n", "Employee: {NAME}\n{LABEL} {ID}\n", "Name of applicant: {NAME}\n", "Name of applicant: {NAME}\n{LABEL} {ID}\n{ADDRESS}{UNIT}\n{CITY}\nTel. {PHONE}\n", "1. Name {NAME}\n", "1. Name {NAME}\n2. Address {ADDRESS}\n", "Name: {NAME}\n", "Applicant {NAME}\n",
-    "Contact: {NAME}\n", "Requested by {NAME}\n", "Signature: {NAME}\n", "Employee: {NAME}\n{ADDRESS}{UNIT}\n{CITY}\n", "Requested by {NAME}\n{LABEL} {ID}\n", "Contact person: {NAME}, {PHONE}\n", "Phone {PHONE}\n", "Tel. {PHONE}\n", "Telephone: {PHONE}\n", "Fax {PHONE}\n", "Fax: {PHONE}\n", "Mobile {PHONE}\n", "Tel {PHONE} ext. {NUM}\n", "E-mail: {EMAIL}\n", "Email {EMAIL}\n", "mail {EMAIL}\n", "{EMAIL}\n", "{PHONE}\n",
-    "{LABEL} {ID}\n", "{LABEL} {ID}\n{BOX}, {CITY}\n", "{LABEL} {ID}\n{ADDRESS}\n", "Prepared by {NAME}\n", "Approved by {NAME}\n", "You were served by {FIRST}\n", "You were served by {FIRST}\n{GOOD}\n", "Cashier: {FIRST}\n", "Reported by {NAME}\n",
-    "Invoice No. {REF}   Date {DATE}\n", "Invoice # {REF}   Date {DATE}\n", "Inv. no: {REF}   Date {DATE}\n", "Our reference {REF}   Date {DATE}\n", "Receipt {REF} {DATE}\n", "{GOOD} FORM {REF}\n", "{TEAM} reference: {GOOD}\n", "{TEAM} code: {REF}\n", "{TEAM} account: {MONEY}\n",
-    "{NUM} {GOOD} {MONEY} {MONEY}\n", "{REF} | {GOOD} | {NUM} | {MONEY}\n", "{GOOD}  {NUM} x {MONEY}  {MONEY}\n", "Total {MONEY}\n", "Amount due {MONEY}\n", "TOTAL {MONEY}\n", "Subtotal {MONEY}\n", "{NUM}\n", "Page {NUM}\n", "{COMPANY}    [{NUM}]\n", "{COMPANY} - {GOOD}\n", "VAT No. {REF}\n", "Please pay {MONEY}\n",
-    "STATEMENT OF CHARGES\n", "INVOICE\n", "BILL\n", "Paid {DATE}\n", "RECEIVED {DATE}\n", "{COMPANY}    Page {NUM}\n", "SHOP {NUM} {DATE}\n", "Tracking number {REF}\n",
-    "Part No. {REF} replaces lot {REF}.\n", "{TEAM} department, {PHONE}\n", "Net 30 days.\n{NAME}\n", "Due on receipt. {NAME}\n", "Payment within 14 days.\n{NAME}\n", "Cash 10 days. Prepared by {NAME}\n",
-    "Regards,\n{NAME}\n", "Sincerely, {NAME}\n", "Best regards, {FIRST}\n", "Regards, {NAME}\n", "Kind regards\n{NAME}\n{TEAM} department\n", "- {NAME}\n", "Yours faithfully,\n{NAME}\n", "{FIRST}\n{TEAM} department, {PHONE}\n", "Thanks,\n{FIRST}\n",
-    "Dear {FIRST},\n", "Dear {NAME},\n", "Hi {FIRST},\n", "Hello {FIRST},\n", "Dear Sir or Madam,\n", "{FIRST},\n", "Good morning {FIRST},\n",
+    "Bill To: {NAME}\n", "Bill To: {COMPANY}\n", "Bill To: {COMPANY}\nAttn: {NAME}\n{ADDRESS}{UNIT}\n{CITY}\n", "Sold to {NAME}\n", "Sold to {COMPANY}\n", "Ship To: {NAME}\nAttn: {NAME}\n", "Customer: {NAME}\n", "Client: {COMPANY}\n", "Client: {NAME}\n", "To: {NAME}\n", "To: {COMPANY}\n", "Invoice to {COMPANY}\n", "Invoice to {NAME}\n",
+    "Attn: {NAME}\n", "Attention: {NAME}\n{BOX}, {CITY}\n", "Attn: {NAME}\nTel. {PHONE}\n", "c/o {NAME}\n{ADDRESS}\n", "From: {NAME} <{EMAIL}>\nTo: {NAME}\nDate: {DATE}\nSubject: {GOOD} {REF}\n", "From: {NAME} {EMAIL}\nTo: {NAME}\n", "From: {NAME}\nTo: {NAME}\nCc: {NAME}\n", "From: {NAME} <{EMAIL}>\nTo: {FIRST}\nCc: {NAME} <{EMAIL}>\n", "Sent: {DATE}\nSubject: {GOOD} for {COMPANY}\n",
+    "Tenant: {NAME}\n", "Employee: {NAME}\n{LABEL} {ID}\n", "Name: {NAME}\n", "Full name: {NAME}\n{LABEL} {ID}\n{ADDRESS}{UNIT}\n{CITY}\nTel. {PHONE}\n", "1. Name {NAME}\n", "3. Name {NAME}\n4. Address {ADDRESS}\n", "2. Phone {PHONE}\n3. E-mail {EMAIL}\n", "Applicant: {NAME}\n", "Applicant {NAME}\n{LABEL} {ID}\n", "Name of tenant: {NAME}\n{LABEL} {ID}\n",
+    "Contact: {NAME}\n", "Ordered by {NAME}\n", "Signature: {NAME}\n", "Signed {NAME}\n", "Employee: {NAME}\n{ADDRESS}{UNIT}\n{CITY}\n", "Ordered by {NAME}\n{LABEL} {ID}\n", "Manager: {NAME}, {PHONE}\n", "Phone {PHONE}\n", "Tel. {PHONE}\n", "Telephone: {PHONE}\n", "Telephone {PHONE}\n", "Fax {PHONE}\n", "Fax: {PHONE}\n", "Mobile: {PHONE}\n", "Tel {PHONE} ext. {NUM}\n", "Phone {PHONE} x{NUM}\n", "Phone/Fax {PHONE}\n", "E-mail: {EMAIL}\n", "Email {EMAIL}\n", "mail {EMAIL}\n", "{EMAIL}\n", "{PHONE}\n", "Office {PHONE}\nMobile {PHONE}\n",
+    "{LABEL} {ID}\n", "{LABEL} {ID}\n{BOX}, {CITY}\n", "{LABEL} {ID}\n{ADDRESS}\n", "{LABEL} ({COMPANY}) {REF}\n", "Prepared by {NAME}\n", "Approved by {NAME}\n", "Checked by {NAME}\n", "Your cook was {FIRST}\n", "Your driver today was {FIRST}\n{GOOD}\n", "Till operator: {FIRST}\n", "Cashier {FIRST}\n", "Packed by {FIRST}\n", "Poured by {FIRST}\n{GOOD}\n", "Best regards, {NAME}\n", "Reported by {NAME}\n", "Inspector: {NAME}\n", "Address: {ADDRESS}\n", "Address {ADDRESS}{UNIT}\n{CITY}\n", "Deliver to {ADDRESS}\n",
+    "Invoice No. {REF}   Date {DATE}\n", "Invoice # {REF}   Date {DATE}\n", "No. {REF}   {DATE}\n", "Your ref. {REF}   Date {DATE}\n", "Ticket {REF} {DATE}\n", "{GOOD} SHEET {REF}\n", "{TEAM} note: {GOOD}\n", "{TEAM} number: {REF}\n", "{TEAM} budget: {MONEY}\n", "Quotation {REF} of {DATE}\n", "Serial No. {REF}\n", "Shipment {REF}\n", "Lot {REF}\n", "Company No. {REF}\n",
+    "{NUM} {GOOD} {MONEY} {MONEY}\n", "{REF} | {GOOD} | {NUM} | {MONEY}\n", "{GOOD}  {NUM} x {MONEY}  {MONEY}\n", "Total {MONEY}\n", "Amount due {MONEY}\n", "TOTAL {MONEY}\n", "Subtotal {MONEY}\n", "Sum {MONEY}\n", "{NUM}\n", "Page {NUM}\n", "{COMPANY}    [{NUM}]\n", "{COMPANY} - {GOOD}\n", "VAT No. {REF}\n", "Tracking No. {REF}\n", "Waybill number {REF}\n", "Batch number {REF}\n", "Meter number {REF}\n", "Change {MONEY}\n",
+    "LIST OF PARTS\n", "INVOICE\n", "QUOTATION\n", "Paid {DATE}\n", "PAID {DATE}\n", "{COMPANY}    Page {NUM}\n", "{TEAM} DESK {NUM} {DATE}\n", "Parcel number {REF}\n", "Cash on delivery. Prepared by {NAME}\n", "Net {NUM} days\n", "Terms: cash\n{NAME}\n", "Due {DATE}. {NAME}\n", "Net {NUM} days. {NAME}\n", "Discount {NUM} %\n{NAME}\n",
+    "Regards,\n{NAME}\n", "Sincerely, {NAME}\n", "Best wishes, {FIRST}\n", "Regards, {NAME}\n", "Regards {NAME}\n{TEAM}\n", "Kind regards\n{NAME}\n", "- {NAME}\n", "Yours truly,\n{NAME}\n", "{FIRST}\n{TEAM}, {PHONE}\n", "Cheers,\n{FIRST}\n", "Many thanks, {FIRST}\n{TEAM} office\n", "Sincerely,\n{NAME}\n{TEAM} department, {PHONE}\n",
+    "Dear {FIRST},\n", "Dear {NAME},\n", "Hi {FIRST},\n", "Hello {FIRST},\n", "Dear Sirs,\n", "Dear Sir or Madam,\n", "{FIRST},\n", "Good evening {FIRST},\n", "Dear Customer,\n",
 ]
 SENTENCES = [
-    "The expenses of {NAME} ({LABEL} {ID}) were approved. ", "The expenses of {NAME} (her {LABEL} {ID}) were approved. ", "The expenses of {NAME} (his {LABEL} {ID}) were approved. ", "The payee gave {LABEL} {ID} for the {GOOD}. ", "Please quote {LABEL} {ID} in your reply. ",
-    "The {GOOD} was signed by {NAME} on {DATE}. ", "We thank {NAME} and the {TEAM} team for the {GOOD}. ", "{NAME} moved to {ADDRESS} after the holiday. ", "According to {NAME}, the {GOOD} is complete. ", "Send cheques to {ADDRESS}{UNIT}, {CITY}. ", "The {GOOD} must go to {ADDRESS}{UNIT}. ",
-    "Visitors to {ADDRESS} should report to the desk. ", "Please deliver to {ADDRESS}, {CITY}. ", "Send it to {EMAIL} or by fax to {PHONE}. ", "Questions about the {GOOD} go to {EMAIL}. ", "Questions about the {GOOD} go to {EMAIL} today. ", "Phone {PHONE} during the second quarter. ", "Call {NAME} on {PHONE}. ", "You can reach {NAME} at {PHONE} or {EMAIL}. ", "Write to {EMAIL} before {DATE}. ",
-    "Please phone {PHONE} once the auditors have finished. ", "{NAME} will call you from {PHONE}. ", "Replies to {EMAIL}, please. ", "Questions about the {GOOD} go to mailto:{EMAIL}. ",
-    "Ring {PHONE} ext. {NUM} before the holiday shutdown. ", "You can reach us under {PHONE} x{NUM} on weekdays. ", "{NAME} in {TEAM} handles this, telephone {PHONE}. ", "{FIRST} in {TEAM} handles this, telephone {PHONE}. ", "Ring {PHONE} in the afternoon. ", "Requested by {NAME}. ", "Signature: {NAME} ",
-    "The contract with {COMPANY} ends on {DATE}. ", "{COMPANY} has questioned the {GOOD} of {MONEY}. ", "We could not match the {GOOD} against order {REF}. ", "Serial {REF} was scrapped; see page {NUM} of the report. ", "Part No. {REF} replaces lot {REF}. ", "Tracking number {REF} is not valid. ", "The balance of {MONEY} remains open on account {REF}. ",
-    "We ordered {NUM} units @ {MONEY} each. ", "The follow-up on {REF} was handed over to {TEAM}. ", "Please deduct {MONEY} from the {GOOD}. ", "The {GOOD} shipped under {REF} weighed {NUM} kilograms. ", "Dear Sir or Madam, see file {REF}. ", "{NUM} cartons of the {GOOD} were received at the beginning of the season. ", "Last week {TEAM} transferred the {GOOD} to the warehouse clerk. ",
-    "Unfortunately the {GOOD} covers work performed between {DATE} and {DATE}. ", "It appears that our carrier promised a {GOOD} for the third time this year. ", "Further to our telephone conversation, nobody in {TEAM} remembers the {GOOD}. ", "As agreed, a copy was filed under {REF}, in accordance with paragraph {NUM}. ", "Apparently the branch office closed the {TEAM} books. ",
-    "For your information, reimbursement of {MONEY} was authorised on {DATE}. ", "To summarise, kindly send two copies of the {GOOD} to {TEAM}. ", "May we remind you of the {GOOD} of {DATE}? ", "Mark the {GOOD} as paid and bill the rest. ", "Please note that the {TEAM} committee accepted the {GOOD} by return mail. ",
-    "Invoice {REF} replaces {REF}. ", "The printing house is at the end of the street. ", "Our order {REF} of {DATE} is still pending. ", "Meanwhile the regional buyer found {NUM} errors in the {GOOD}. ",
-    "Therefore the {GOOD} was posted to the {TEAM} ledger, although the {GOOD} had been confirmed. ", "In addition, discount terms were negotiated on {DATE}. ", "The auditors of {COMPANY} will visit on {DATE}. ",
+    "The claim by {NAME} ({LABEL} {ID}) has been paid. ", "A parcel for {NAME} (her {LABEL} {ID}) is waiting. ", "A parcel for {NAME} (his {LABEL} {ID}) is waiting. ", "The tenant wrote {LABEL} {ID} on the back of the {GOOD}. ", "Add {LABEL} {ID} to the card. ", "They need your {LABEL}, which was {ID} last year. ",
+    "A {GOOD} was lent to {NAME} on {DATE}. ", "Give our best to {NAME} and everybody in the {TEAM}. ", "{NAME} now lives at {ADDRESS} with a dog. ", "In the view of {NAME}, the {GOOD} looks fine. ", "Leave the {GOOD} at {ADDRESS}{UNIT}, {CITY}. ", "The {GOOD} belongs at {ADDRESS}{UNIT}. ", "Our old shop in {ADDRESS} has closed. ",
+    "Guests of {ADDRESS} may use the garden. ", "Bring two of them to {ADDRESS}, {CITY}. ", "Post it to {EMAIL} or fax {PHONE}. ", "For a {GOOD} ask {EMAIL}. ", "For a {GOOD} ask {EMAIL} first. ", "Dial {PHONE} when you arrive. ", "Ask {NAME} on {PHONE}. ", "Try {NAME} at {PHONE} or {EMAIL}. ", "Mail {EMAIL} until {DATE}. ", "We moved from {ADDRESS} to {ADDRESS} in spring. ",
+    "Just dial {PHONE} if the kettle leaks again. ", "{NAME} rang twice from {PHONE}. ", "Answers to {EMAIL}, thanks. ", "The form is at mailto:{EMAIL} too. ", "Text {PHONE} or knock loudly. ", "Our fax is {PHONE}, the phone {PHONE}. ", "Use {EMAIL} (office) or {EMAIL} (home). ",
+    "Dial {PHONE} ext. {NUM} and wait for the tone. ", "The {TEAM} picks up at {PHONE} x{NUM} most evenings. ", "{NAME} of the {TEAM} knows more, phone {PHONE}. ", "{FIRST} from the {TEAM} knows more, phone {PHONE}. ", "Dial {PHONE} after lunch. ", "Ordered by {NAME}. ", "Signature: {NAME} ", "Both {NAME} and {NAME} were late. ", "{NAME} {VERB} the {GOOD}. ", "{NAME} {VERB} the boat. ", "{NAME} {VERB} it on {DATE}. ", "{FIRST} {VERB} one. ", "{NAME} of the {TEAM} {VERB} a {GOOD}. ", "Mr and Mrs {NAME} {VERB} it. ", "{NAME} {VERB} {LABEL} {ID} on the form. ", "The guest {VERB} {LABEL} {ID} for the {GOOD}. ", "Nobody {VERB} {LABEL} {ID}. ", "The {GOOD} {VERB} a {GOOD}. ", "A {GOOD} {VERB} the {TEAM} where one {VERB} little. ", "{NAME} agrees with us. ", "{NAME} at the {TEAM} has the key. ", "{NAME} came from {ADDRESS} by train. ", "{FIRST} at the {TEAM} has the key. ", "The wages of {NAME} ({LABEL} {ID}) are late. ", "In the purse of {NAME} ({LABEL} {ID}) lay a ticket. ", "He showed {LABEL} {ID} at the gate. ", "She wrote {LABEL} {ID} below. ", "I met {FIRST} near the {GOOD}. ", "Has {FIRST} seen this? ", "The keys are with {NAME}; take care. ", "Ms {NAME} left early. ",
+    "Our lease with {COMPANY} is up on {DATE}. ", "{COMPANY} sold us a {GOOD} for {MONEY}. ", "Nobody found the {GOOD} under number {REF}. ", "Machine {REF} stood idle; look at page {NUM}. ", "Model {REF} comes after model {REF}. ", "Parcel {REF} got lost. ", "Waybill number {REF} was read twice. ", "Meter number {REF} is out of order. ", "Tracking code {REF} says nothing. ", "Batch number {REF}, box {REF}. ", "Thanks to {NAME}, Everything is ready. ", "Unlike {NAME}, We stay at home. ", "With {NAME}, Saturday would be fine. ", "After {NAME}, The next one sings. ", "Thanks to {NAME}, As usual, it works. ", "Besides {NAME}, Nobody came. ", "You still owe {MONEY} on card {REF}. ", "A cousin of ours works for {COMPANY}, near the river. ", "Delivered by {COMPANY} for {COMPANY}. ", "Part {REF} fits lot {REF}. ", "Order {REF} has {NUM} boxes. ",
+    "There are {NUM} chairs @ {MONEY} apiece. ", "The plan {REF} now sits with the {TEAM}. ", "Take {MONEY} off the {GOOD}. ", "One {GOOD} from box {REF} weighs {NUM} pounds. ", "Dear Sirs, open drawer {REF}. ", "{NUM} crates with a {GOOD} stood in the yard. ", "Yesterday the {TEAM} gave a {GOOD} to the neighbour. ", "Between {DATE} and {DATE} it rained on {NUM} days. ", "Sadly the {GOOD} broke between {DATE} and {DATE}. ", "Somebody from the {TEAM} painted a {GOOD} green. ",
+    "As far as we know, the {TEAM} forgot the {GOOD} again. ", "Keep a photo under {REF} as in rule {NUM}. ", "The {TEAM} shut its doors at noon. ", "You get {MONEY} back since {DATE}. ", "In short, bring two pairs of gloves to the {TEAM}. ", "Do you want the {GOOD} of {DATE}? ", "Wash the {GOOD} and dry the rest. ", "Mind that the {TEAM} choir sings on Sunday. ",
+    "Bill {REF} comes instead of {REF}. ", "The mill by the bridge is at the end of the road. ", "Your order {REF} of {DATE} is on the way. ", "A young baker saw {NUM} cracks in the {GOOD}. ", "So the {GOOD} went into the {TEAM} book, though the {GOOD} was not there. ", "Besides, new prices hold from {DATE}. ", "People from {COMPANY} will come on {DATE}. ", "What a {GOOD}! ", "It will cost about {MONEY}, maybe less. ", "Every {GOOD} needs oil and some patience before winter. ",
 ]
+HOLD = 5  # every so many frames one can be held out
+
+
+def frames(which: str = "all") -> tuple[list[str], list[str], list[str]]:
+    """Frames of all kinds: all, those to train on if some are held out, or those held out."""
+    keep = {"all": lambda i: True, "train": lambda i: i % HOLD != HOLD - 1, "held": lambda i: i % HOLD == HOLD - 1}[which]
+    return tuple([f for i, f in enumerate(group) if keep(i)] for group in (HEADS, FIELDS, SENTENCES))
 
 
 def fill(template: str, m: Maker) -> tuple[str, list[tuple[int, int, str]]]:
@@ -266,8 +286,8 @@ def fill(template: str, m: Maker) -> tuple[str, list[tuple[int, int, str]]]:
         if slot in LABELLED:
             spans.append((len(text), len(text) + len(value), LABELLED[slot]))
         text += value
-        if slot == "LABEL" and value[-1:].isalpha() and m.r.random() < 0.1:
-            text += m.pick([":", " no.", " #"])
+        if slot == "LABEL" and value[-1:].isalpha() and m.r.random() < 0.25:
+            text += m.pick([":", " no.", " #", " is", " number is", " (renewed)", " (new one)", " of the tenant", " number"])
     return text, spans
 
 
@@ -289,16 +309,17 @@ def _wrap(text: str, spans: list[tuple[int, int, str]], m: Maker) -> tuple[str,
     return "".join(out), [(at[a], at[b], k) for a, b, k in spans]
 
 
-def samples(n: int = 1500, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def samples(n: int = 1500, seed: int = 11, which: str = "all") -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``n`` short documents with their labelled spans."""
     m = Maker(seed)
+    heads, fields, sentences = frames(which)
     out = []
     for _ in range(n):
-        parts = [m.pick(HEADS)] if m.r.random() < 0.7 else []
-        parts += [m.pick(FIELDS) for _ in range(m.r.randint(1, 5))]
-        parts += [m.pick(SENTENCES) for _ in range(m.r.randint(1, 6))]
+        parts = [m.pick(heads)] if m.r.random() < 0.7 else []
+        parts += [m.pick(fields) for _ in range(m.r.randint(1, 5))]
+        parts += [m.pick(sentences) for _ in range(m.r.randint(1, 6))]
         if m.r.random() < 0.5:
-            parts += ["\n", m.pick(FIELDS)]
+            parts += ["\n", m.pick(fields)]
         text, spans = "", []
         shout = m.r.random() < 0.07
         for p in parts:

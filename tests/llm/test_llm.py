@@ -493,34 +493,46 @@ def test_crf_gradient_and_decoding_by_brute_force():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.Tagger(pii.train(900, 30), pii._sample_kinds())
+    return pii.Tagger(pii.train(1200, 24, which="train"), pii._sample_kinds())
 
 
-def test_pii_held_out(tagger):
-    hit = miss = extra = 0
-    cases = pii_samples.samples(150, seed=77)
+def test_pii_on_frames_not_trained_on(tagger):
+    """Recall and precision of each kind on the held-out fifth of the frames."""
+    assert not set(pii_samples.frames("train")[2]) & set(pii_samples.frames("held")[2])
+    hit, miss, extra = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    cases = pii_samples.samples(300, 77, "held")
     for (text, spans), items in zip(cases, tagger.tag([t for t, _ in cases])):
         tokens = pii.chunks(text)
         got = {(k, pii.key_of(s)) for a, b, k in pii.widen(tokens, items) if (s := pii.item(k, " ".join(tokens[a:b])))}
         gold = {(k, pii.key_of(text[a:b])) for a, b, k in spans}
-        hit += len(got & gold)
-        miss += len(gold - got)
-        extra += len(got - gold)
-    assert hit / (hit + miss) > 0.95 and hit / (hit + extra) > 0.95
+        for count, items in ((hit, got & gold), (miss, gold - got), (extra, got - gold)):
+            for k, _ in items:
+                count[k] += 1
+    for k in pii.KINDS:
+        recall, precision = hit[k] / (hit[k] + miss[k]), hit[k] / (hit[k] + extra[k])
+        print(f"{k}: recall {recall:.3f}, precision {precision:.3f} of {hit[k] + miss[k]}")
+        assert recall > 0.85 and precision > 0.85, (k, recall, precision)
+
+
+def test_model_is_saved_and_read(tmp_path, monkeypatch):
+    path = str(tmp_path / "model.npz")
+    one = pii.fitted(150, path)
+    monkeypatch.setattr(pii, "train", lambda *a, **k: pytest.fail("trained again"))
+    two = pii.fitted(150, path)
+    assert one.index == two.index and np.array_equal(one.weights, two.weights) and np.array_equal(one.transitions, two.transitions)
 
 
 def test_pii_rows(spark):
-    texts = [
-        ("a", "Dear Maria Soveno,\nSend it to maria.soveno@example.org or by fax to +1 212 555 0199.\nThe payee gave SSN 123-45-6789 for the deposit.\nOrder 987-65-4321 is late."),
-        ("a", "Dear Maria Soveno,\nSend it to maria.soveno@example.org or by fax to +1 212 555 0199.\nThe payee gave SSN 123-45-6789 for the deposit.\nOrder 987-65-4321 is late."),
-        ("n", None), ("e", ""),
-    ]
+    rng = random.Random(3)
+    prose = "the garden was quiet and nobody came by for the old boat near the bridge while we waited in the rain".split()
+    filler = [(f"f{i}", " ".join(rng.choice(prose) for _ in range(60)) + "\nDear Customer, call phone fax order is late please send to write") for i in range(60)]
+    text = "Dear Margaret Soveno,\nPlease write to margaret.soveno@example.org or send a fax to +1 212 555 0199.\nSSN: 123-45-6789\nOrder 4711-C is late."
+    texts = [("a", text), ("a", text), ("n", None), ("e", ""), *filler]
     df = spark.createDataFrame(texts, "doc_id string, raw_text string").withColumn("text", F.lit(1)).withColumn("key", F.lit(2))
-    got = {tuple(r) for r in pii.found(df, samples=900).collect()}
-    assert {("a", "email", "mariasovenoexampleorg"), ("a", "phone", "12125550199"), ("a", "identity", "123456789"), ("a", "name", "mariasoveno")} <= got
-    assert not any(k == "987654321" for _, _, k in got)
-    red = {r.doc_id: r.redacted for r in pii.redacted(df, samples=900).collect()}["a"]
-    assert "[EMAIL]" in red and "[PHONE]" in red and "[IDENTITY]" in red and "Order 987-65-4321 is late." in red and "soveno" not in red.lower()
+    got = {tuple(r)[1:] for r in pii.found(df).collect() if r.doc_id == "a"}
+    assert {("email", "margaretsovenoexampleorg"), ("phone", "12125550199"), ("identity", "123456789"), ("name", "margaretsoveno")} <= got
+    red = {r.doc_id: r.redacted for r in pii.redacted(df).collect()}["a"]
+    assert "[EMAIL]" in red and "[PHONE]" in red and "[IDENTITY]" in red and red.endswith("Order 4711-C is late.") and "soveno" not in red.lower()
     assert pii.found(df.limit(0), samples=200).count() == 0
 
 
