@@ -1,7 +1,8 @@
 """Text normalisation and scalar text features as Column -> Column functions.
 
-Everything here is built-in expressions, so plans stay within whole-stage code generation. Nulls: functions
-that return text keep null; counts, ratios and flags treat null as the empty string.
+Everything here is built-in expressions, so nothing leaves the JVM. Those with lambdas (``let``, ``lines``, ``words`` and
+whatever filters or transforms arrays) are evaluated by the engine's interpreter within the stage instead of generated
+code. Nulls: functions that return text keep null; counts, ratios and flags treat null as the empty string.
 """
 
 from __future__ import annotations

@@ -139,6 +139,7 @@ NUMERIC = [
     "doc_num_lines", "doc_num_chars",
 ]
 CATEGORICAL = ["candidate_source", "candidate_shape"]
+RARE = 1e-3  # categories of a smaller share of the labelled rows are one
 
 
 def features(cands: DataFrame, lines: DataFrame, field: str, key: str = "doc_id") -> DataFrame:
@@ -228,18 +229,22 @@ def train_ranker(labelled: DataFrame, field: str) -> PipelineModel:
     weight = F.lit(1.0)
     for k, n in counts.items():
         weight = F.when(F.col("label") == k, total / (len(counts) * n)).otherwise(weight)
-    index = StringIndexer(inputCols=CATEGORICAL[:1], outputCols=["_s"], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=["_s"], outputCols=["_s_hot"], handleInvalid="keep")
-    gather = VectorAssembler(inputCols=[*NUMERIC, *OWN[field], "_s_hot"], outputCol="features", handleInvalid="keep")
+    coded, hot_columns = [f"_i_{c}" for c in CATEGORICAL], [f"_h_{c}" for c in CATEGORICAL]
+    # A share of the rows, so that the categories kept don't grow with the data; the rest are one category.
+    common = {c: {r[0] for r in df.groupBy(c).count().filter(F.col("count") >= max(2, RARE * total)).collect()} for c in CATEGORICAL}
+    rows = df.withColumns({c: F.when(F.col(c).isin(list(common[c])), F.col(c)) for c in CATEGORICAL if common[c]}).withColumn("_w", weight)
+    index = StringIndexer(inputCols=CATEGORICAL, outputCols=coded, handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=coded, outputCols=hot_columns, handleInvalid="keep")
+    gather = VectorAssembler(inputCols=[*NUMERIC, *OWN[field], *hot_columns], outputCol="features", handleInvalid="keep")
     lr = LogisticRegression(maxIter=200, regParam=1.0 / max(total, 1), standardization=True, weightCol="_w")
-    return Pipeline(stages=[index, hot, gather, lr]).fit(df.withColumn("_w", weight))
+    return Pipeline(stages=[index, hot, gather, lr]).fit(rows)
 
 
 def score(model: PipelineModel, df: DataFrame, field: str) -> DataFrame:
     """Adds ``probability_positive``."""
     check_features(df, field)
     out = model.transform(_prepared(df, field))
-    return out.withColumn("probability_positive", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "_s", "_s_hot")
+    return out.withColumn("probability_positive", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *[f"{p}{c}" for p in ("_i_", "_h_") for c in CATEGORICAL])
 
 
 def top1(scored: DataFrame, threshold: float = 0.3, key: str = "doc_id", probability: str = "probability_positive", order: str = "line_idx") -> DataFrame:
@@ -247,3 +252,15 @@ def top1(scored: DataFrame, threshold: float = 0.3, key: str = "doc_id", probabi
     k = F.struct((-F.col(probability)).alias("p"), F.col(order), F.col("candidate_text"))
     best = scored.groupBy(key).agg(F.min_by("candidate_text", k).alias("value"), F.max(probability).alias("score"))
     return best.withColumn("value", F.when(F.col("score") >= threshold, F.col("value")))
+
+
+def merge_top1(base: DataFrame, ranked: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
+    """The baseline's result with the fields of rankers: a ranked value, where there is one, replaces the baseline's.
+
+    Adds ``<field>_score``; documents without candidates keep the baseline's value.
+    """
+    out = base
+    for field, top in ranked.items():
+        best = top.select(key, F.col("value").alias("_v"), F.col("score").alias(f"{field}_score"))
+        out = out.join(best, key, "left").withColumn(field, F.coalesce("_v", field)).drop("_v")
+    return out

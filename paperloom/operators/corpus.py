@@ -152,3 +152,23 @@ def last_of_user(df: DataFrame, n: int, user: str, order: list[str]) -> DataFram
     """The last ``n`` rows of each user: a bounded history."""
     w = Window.partitionBy(user).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def labelling_sample(candidates: DataFrame, docs: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """All candidates of ``docs`` documents, chosen by seeded hash: a sample for labelling by hand."""
+    ids = candidates.select(key).distinct().withColumn("_h", hash_key(F.lit(str(seed)), F.col(key).cast("string")))
+    chosen = ids.orderBy("_h", key).limit(docs).select(key)
+    return candidates.join(F.broadcast(chosen), key, "left_semi")  # the size of the sample bounds it
+
+
+def batch_lines(candidates: DataFrame, texts: DataFrame, size: int, context: int = 200, key: str = "doc_id") -> DataFrame:
+    """(chunk, doc_id, line): lines to label with the beginning of the document beside them, ``size`` documents a chunk.
+
+    Documents without text keep their lines with an empty context. Line breaks become spaces.
+    """
+    ids = candidates.select(key).distinct().withColumn("_all", F.lit(0))
+    index = running_index(ids, ["_all"], [key], F.substring(key, 1, 10), "_r").select(key, chunk(F.col("_r"), size).alias("chunk"))
+    start = texts.groupBy(key).agg(F.min(F.regexp_replace(F.substring(empty(F.col("raw_text")), 1, context), r"[\r\n\f]+", " ")).alias("_start"))
+    wide = candidates.join(index, key).join(start, key, "left")
+    line = F.concat(format_label_line(F.col("field")), F.lit("? | context="), empty(F.col("_start")))
+    return wide.select("chunk", key, line.alias("line"))

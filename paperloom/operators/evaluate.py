@@ -127,3 +127,44 @@ def doc_top1(df: DataFrame, score: str, gold: str, group: str = "doc_id", order:
     best = df.groupBy(group).agg(F.max(F.struct(F.col(score), (-F.col(order)).alias("o"), F.col(gold).alias("g"))).alias("b"), F.max(gold).alias("any"))
     ok = best.filter("any > 0")
     return ok.agg(F.count("*").alias("docs"), F.sum("b.g").alias("hits"), F.round(F.avg("b.g"), 4).alias("accuracy"))
+
+
+def deltas(before: DataFrame, after: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, field, before, after, change) of the fields whose correctness changed: 1 improved, -1 regressed."""
+    b = before.select(key, "field", F.col("correct").alias("before"))
+    a = after.select(key, "field", F.col("correct").alias("after"))
+    return b.join(a, [key, "field"]).filter("after <> before").withColumn("change", F.col("after") - F.col("before"))
+
+
+def override_effect(before: DataFrame, after: DataFrame, fields: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """(field, docs, filled_before, filled_after, gained, lost, changed) over the documents of both results.
+
+    ``before`` and ``after`` hold the fields as extracted without and with the gate's override; null is unfilled. A
+    value that is there on both sides and differs counts as changed.
+    """
+    b, a = unpivot(before, fields, "before", key), unpivot(after, fields, "after", key)
+    had, has_ = F.col("before").isNotNull(), F.col("after").isNotNull()
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    return b.join(a, [key, "field"]).groupBy("field").agg(
+        F.count("*").alias("docs"),
+        count(had).alias("filled_before"),
+        count(has_).alias("filled_after"),
+        count(~had & has_).alias("gained"),
+        count(had & ~has_).alias("lost"),
+        count(had & has_ & (F.col("before") != F.col("after"))).alias("changed"),
+    )
+
+
+def not_inherited(parent: DataFrame, child: DataFrame, fields: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """(key, field, parent, child): values of the parent's result that a result built on it doesn't have, over common keys."""
+    p, c = unpivot(parent, fields, "parent", key), unpivot(child, fields, "child", key)
+    return p.join(c, [key, "field"]).filter("parent IS NOT NULL AND NOT parent <=> child")
+
+
+def label_counts(rows: DataFrame, fields: Sequence[str], split: str = "_split", key: str = "doc_id") -> DataFrame:
+    """(split, field, docs, rows, positives): rows with a 0/1 column ``y_<field>`` for each field."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"y_{f}").alias("y")) for f in fields]))
+    long = rows.select(split, key, each.alias("x")).select(split, key, "x.*")
+    # Counted by document first, so that the distinct count shuffles one row a document and field.
+    by_doc = long.groupBy(split, "field", key).agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    return by_doc.groupBy(split, "field").agg(F.count("*").alias("docs"), F.sum("n").alias("rows"), F.sum("p").alias("positives"))

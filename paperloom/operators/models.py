@@ -9,16 +9,21 @@ from __future__ import annotations
 import time
 from math import log
 
+import numpy as np
+import pandas as pd
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators import evaluate
+from paperloom.session import materialize
 
 VOCABULARY = 5000
 
@@ -82,23 +87,20 @@ class Svd:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import VectorUDT
-
         shared = df.sparkSession.sparkContext.broadcast(self.components.toArray())
 
-        @F.udf(VectorUDT())
-        def project(x):
-            m = shared.value
-            return Vectors.dense(x.values @ m[x.indices]) if hasattr(x, "indices") else Vectors.dense(x.toArray() @ m)
+        @F.pandas_udf("array<double>")
+        def project(rows: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(rows.to_numpy()) @ shared.value)) if len(rows) else rows
 
-        return df.withColumn("reduced", project("features"))
+        return df.withColumn("reduced", array_to_vector(project(vector_to_array("features"))))
 
 
 def classifiers(n: int, seed: int = 42) -> dict:
     """Estimators by name, for ``n`` training rows."""
-    lr = lambda col: LogisticRegression(family="multinomial", featuresCol=col, regParam=1.0 / max(n, 1), standardization=False, maxIter=100)
+    lr = lambda col: LogisticRegression(family="multinomial", featuresCol=col, regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
     rf = lambda col: RandomForestClassifier(featuresCol=col, numTrees=100, seed=seed)
-    svm = lambda col: OneVsRest(featuresCol=col, classifier=LinearSVC(featuresCol=col, regParam=1.0 / max(n, 1), maxIter=50))
+    svm = lambda col: OneVsRest(featuresCol=col, classifier=LinearSVC(featuresCol=col, regParam=1.0 / max(n, 1), maxIter=2000))
     nb = NaiveBayes(featuresCol="features", modelType="multinomial", smoothing=1.0)
     plain = {"LogisticRegression": lr("features"), "RandomForest": rf("features"), "LinearSVM": svm("features"), "MultinomialNB": nb}
     return {**plain, **{f"{m}-{r}": f("reduced") for r in ("PCA", "SVD") for m, f in (("LR", lr), ("RF", rf), ("SVM", svm))}}
@@ -125,10 +127,13 @@ def predict(model, df: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumn("confidence", F.create_map("predicted_class", F.lit(1.0)))
 
 
-def compare(train: DataFrame, held: DataFrame, names: list[str], only: list[str] | None = None, k: int = 50) -> DataFrame:
+def compare(train: DataFrame, held: DataFrame, names: list[str], only: list[str] | None = None, k: int = 150) -> DataFrame:
     """(model, accuracy, macro_f1, weighted_f1, train_time_s): every configuration on the held rows."""
     spark = train.sparkSession
     n = train.count()
+    # Not more components than there are features or documents.
+    width = len(train.select(vector_to_array("features")).first()[0]) if n else 0
+    k = min(k, width - 1, n - 1)
     reducers = {}
     out = None
     for name, estimator in classifiers(n).items():
@@ -175,7 +180,8 @@ def top_terms(df: DataFrame, per_class: int = 10, min_df: int = 2, max_df: float
     docs = df.select("doc_id", grouped, "grams").filter(F.col(grouped).isNotNull())
     sizes = docs.groupBy(grouped).agg(F.count("*").alias("docs"))
     n = sizes.agg(F.sum("docs")).first()[0] or 0
-    tf = docs.select("doc_id", grouped, F.explode("grams").alias("term")).groupBy("doc_id", grouped, "term").agg(F.count("*").alias("tf"))
+    # Read for the frequencies, the norms and the means: counted once.
+    tf = materialize(docs.select("doc_id", grouped, F.explode("grams").alias("term")).groupBy("doc_id", grouped, "term").agg(F.count("*").alias("tf")))
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     kept = frequency.orderBy(F.desc("cf"), "term").limit(size).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
     raw = tf.join(F.broadcast(kept.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
@@ -184,3 +190,27 @@ def top_terms(df: DataFrame, per_class: int = 10, min_df: int = 2, max_df: float
     means = by_class.join(F.broadcast(sizes), grouped).withColumn("mean_tfidf", F.round(F.col("s") / F.col("docs"), 6))
     rank = F.row_number().over(Window.partitionBy(grouped).orderBy(F.desc("mean_tfidf"), "term"))
     return means.withColumn("rank", rank).filter(F.col("rank") <= per_class).select(F.col(grouped).alias("class"), "term", "mean_tfidf", "rank")
+
+
+# Saving ------------------------------------------------------------------------------------------------------------
+
+
+def save_features(features: Features, path: str) -> None:
+    """The vocabulary with its frequencies below ``path``."""
+    features.counter.write().overwrite().save(f"{path}/counter")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(features.idf)], "i int, idf double").write.mode("overwrite").parquet(f"{path}/idf")
+
+
+def load_features(spark: SparkSession, path: str) -> Features:
+    idf = [r.idf for r in spark.read.parquet(f"{path}/idf").orderBy("i").collect()]  # bounded by the vocabulary
+    return Features(CountVectorizerModel.load(f"{path}/counter"), idf)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted classifier or ranker; a pipeline of one where it is no pipeline."""
+    (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

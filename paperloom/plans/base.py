@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import table
+from paperloom.session import distinct_rows, table
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
     """Captured documents, each row once."""
-    return table(spark, d, "raw_documents").select("doc_id", "file_name", "label", "source_dataset", "raw_text").distinct()
+    return distinct_rows(table(spark, d, "raw_documents").select("doc_id", "file_name", "label", "source_dataset", "raw_text"))
 
 
 def invoices(spark: SparkSession, d: str) -> DataFrame:

@@ -28,7 +28,9 @@ from paperloom.plans import (  # noqa: E402, F401
     corpus_queries,
     evaluate_queries,
     extract_queries,
+    join_queries,
     layout_queries,
     model_queries,
     text_queries,
+    value_queries,
 )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a temporary folder is made and remembered in the session.
+    A cluster names it in ``spark.checkpoint.dir``; without it there is an error. Only on a single machine
+    (tests) a temporary folder is made and remembered in the session.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -38,7 +42,19 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._written_to = where
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        where = getattr(df, "_written_to", None)
+        if where:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -46,6 +62,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
     The count is bounded (``limit``), so checking a large side stays cheap.
     """
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def distinct_rows(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` without repeated rows, for tables with long texts of which few rows are repeated.
+
+    Only hashes of all rows are shuffled, and whole those rows that share their hash with another one. Where more
+    than ``max_rows`` hashes are shared, all rows are shuffled as ``distinct`` does.
+    """
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    shared = df.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
+    shared = materialize(shared)
+    if shared.limit(max_rows + 1).count() > max_rows:
+        return df.distinct()
+    tagged, shared = df.withColumn("_h", h), F.broadcast(shared)
+    once = tagged.join(shared, "_h", "left_anti").drop("_h")
+    return once.union(tagged.join(shared, "_h", "left_semi").drop("_h").distinct())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from paperloom import schemas
+from paperloom.operators.corpus import running_index
 
 # File endings by kind, and label ids of the archive's classes.
 IMAGE = [".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp"]
@@ -60,11 +61,15 @@ def extract_text(df: DataFrame, primary: dict[str, str] | None = None) -> DataFr
     """Adds ``raw_text`` to files: text decoded as UTF-8, images and PDFs through their engines.
 
     Each kind is its own branch, so that an engine only sees its files. A PDF without text goes to the image engine.
+    A kind without an engine is an error if a file of it is read.
     """
     text = df.filter("kind = 'text'").withColumn("raw_text", F.col("content").cast("string"))
     parts = [text]
     for kind in ("image", "pdf"):
-        if kind in ENGINES:
+        if kind not in ENGINES:
+            message = F.concat(F.lit(f"no engine for {kind} is registered: "), "path")
+            parts.append(df.filter(F.col("kind") == kind).withColumn("raw_text", F.raise_error(message).cast("string")))
+        else:
             t = _engine_udf(kind)(F.col("content"))
             branch = df.filter(F.col("kind") == kind).withColumn("raw_text", t)
             if kind == "pdf" and "image" in ENGINES:
@@ -113,9 +118,42 @@ def label_metadata(lines: DataFrame, column: str = "value") -> DataFrame:
     return df.withColumn("class_name", F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_IDS.items() for x in kv]), F.col("label_id")))
 
 
-def archive_members(members: DataFrame, wanted: DataFrame, path: str = "path") -> DataFrame:
-    """Members of an archive's listing whose path is wanted."""
-    return members.join(wanted, path)
+def archive_members(members: DataFrame, wanted: DataFrame, path: str = "path", position: str = "position") -> DataFrame:
+    """Members of an archive's listing whose path is wanted, with ``class_name`` and ``class_index``, their number in its class.
+
+    ``members``: path and position in the archive; ``wanted``: path and class_name. Paths listed twice count once, at
+    their first position.
+    """
+    first = members.groupBy(path).agg(F.min(position).alias(position))
+    found = first.join(wanted.select(path, "class_name").distinct(), path)
+    # Positions of like length sort as text does; the leading digits are the buckets.
+    key = F.lpad(F.col(position).cast("string"), 19, "0")
+    found = found.withColumn("_p", key)
+    return running_index(found, ["class_name"], ["_p"], F.substring("_p", 1, 16), "class_index").drop("group_size", "_p")
+
+
+def name_parts(name: Column) -> Column:
+    """All runs of neighbouring parts of a file name without its ending (parts stand between -, _, . and spaces)."""
+    parts = F.filter(F.split(F.regexp_replace(name, r"\.[^.]*$", ""), r"[-_. ]+"), lambda x: x != "")
+    runs = F.transform(parts, lambda _, i: F.transform(F.sequence(F.lit(1), F.size(parts) - i), lambda n: F.array_join(F.slice(parts, i + 1, n), "_")))
+    return F.when(F.size(parts) > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+
+def with_text(results: DataFrame, raw: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Results with ``raw_text`` of their document: by key, else of the first file whose name contains the key.
+
+    Containing means whole parts of the name, so that the second lookup is an equi-join on the runs of parts of file
+    names and no comparison of all with all. Several files that contain a key: the first by name. ``found_by`` is
+    "key", "name" or null.
+    """
+    texts = raw.groupBy(key).agg(F.min(F.struct("file_name", "raw_text")).alias("_t"))
+    df = results.join(texts.select(key, F.col("_t.raw_text").alias("_own"), F.lit("key").alias("_by")), key, "left")
+    wanted = df.filter("_by IS NULL").select(key).distinct().withColumn("_k", F.regexp_replace(key, r"[-_. ]+", "_"))
+    runs = raw.select("file_name", "raw_text").withColumn("_k", F.explode(name_parts(F.col("file_name"))))
+    loose = wanted.join(runs, "_k").groupBy(key).agg(F.min(F.struct("file_name", "raw_text")).alias("_l"))
+    df = df.join(loose, key, "left")
+    by = F.coalesce("_by", F.when(F.col("_l").isNotNull(), "name"))
+    return df.withColumns({"raw_text": F.when(F.col("_by").isNotNull(), F.col("_own")).otherwise(F.col("_l.raw_text")), "found_by": by}).drop("_own", "_by", "_l")
 
 
 def ground_truth(df: DataFrame, column: str = "value") -> DataFrame:
@@ -152,6 +190,11 @@ def split_union(parts: dict[str, DataFrame]) -> DataFrame:
     return out.fillna("", subset=[c for c in out.columns if c == "raw_text"])
 
 
+def invoice_texts(parts: dict[str, DataFrame]) -> DataFrame:
+    """Invoices of several splits as one table with ``_split``; null texts become empty."""
+    return split_union(parts).filter("label = 'invoice'")
+
+
 def engine_extractor(name: str) -> Callable[[DataFrame], DataFrame]:
     """A registered extractor by name: DataFrame -> DataFrame with the field columns."""
     from paperloom.operators import baseline, regex_fields, template

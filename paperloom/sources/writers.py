@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def csv(df: DataFrame, path: str) -> None:
-    """With header and doubled quotes; replaces what was there."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """With header and doubled quotes, white space at the ends of values kept; replaces what was there."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).option("header", True).option("escape", '"').csv(path)
 
 
 def parquet(df: DataFrame, path: str, *partition_by: str) -> None:
