@@ -58,7 +58,13 @@ def match_detail(spark, d):
     return df.withColumn("correct", F.when(F.col("field") == "recipient_name", plain).otherwise(F.col("correct")))
 
 
-@query()
+_ACCENTS = "àáâãäåāăçćčèéêëēėęìíîïīıñńňòóôõöøōőśšşùúûüūůűýÿźżžł", "aaaaaaaaccceeeeeeeiiiiiinnnooooooooosssuuuuuuuyyzzzl"
+_FOLDED = "regexp_replace(translate({0}, '" + "', '".join(_ACCENTS) + "'), '[^\\x00-\\x7f]', '', 'g')"
+_GF, _PF = _FOLDED.format(_G), _FOLDED.format(_P)
+_FOLD_DETAIL = _DETAIL.replace(f"(contains({_G}, {_P}) OR contains({_P}, {_G}))", f"(contains({_G}, {_P}) OR contains({_P}, {_G}) OR contains({_GF}, {_PF}) OR contains({_PF}, {_GF}))")
+
+
+@query(_FOLD_DETAIL)
 def match_detail_folded(spark, d):
     return details(spark, d)
 

@@ -166,9 +166,19 @@ def batch_confidence(spark, d):
     return w.groupBy("batch_id").agg(F.count("*").alias("words"), (F.sum(conf.cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean_conf"), F.sum((conf < 50).cast("int")).alias("doubtful"))
 
 
-@query()
+_BOX_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g'), '[^a-z0-9:/.,#\- ]', '', 'g'), ' +', ' ', 'g'))"
+_Y = ", ".join(
+    f"CAST({f} IS NOT NULL AND {_BOX_TEXT.format(f)} <> '' AND {_BOX_TEXT.format('text')} <> '' AND (contains({_BOX_TEXT.format(f)}, {_BOX_TEXT.format('text')}) OR contains({_BOX_TEXT.format('text')}, {_BOX_TEXT.format(f)})) AS INT) AS y_{f}"
+    for f in ("recipient_name", "invoice_number", "total_amount")
+)
+
+
+@query(
+    f"SELECT file_stem, block_num, par_num, line_num, text, {S.round4('x_rel')} AS x_rel, {S.round4('y_rel')} AS y_rel, {_Y} FROM ({_ZONED}) JOIN "
+    "(SELECT DISTINCT regexp_replace(file_name, '\\.[^.]*$', '') AS file_stem, recipient_name, invoice_number, total_amount FROM gold_dataset) USING (file_stem)"
+)
 def line_labels(spark, d):
-    """Lines labelled by gold totals: text match, or a box that overlaps the gold line's."""
+    """Lines labelled by gold values that their text contains or that contain it."""
     from paperloom.operators.lines import label_lines
 
     gold = table(spark, d, "gold_dataset").select("file_name", "recipient_name", "invoice_number", "total_amount").distinct()
