@@ -238,9 +238,9 @@ def extract_fields(df: DataFrame, version: str = "v5", mode: str = "text_only",
 
 
 def version_matrix(df: DataFrame, key: str = "doc_id", text: str = "raw_text", versions: list[str] | None = None) -> DataFrame:
-    """(version, key, fields...) of several versions in one long table."""
-    out = None
-    for name in versions or list(VERSIONS):
-        one = extract_fields(df.select(key, text), name, text=text).select(F.lit(name).alias("version"), key, *FIELDS)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(version, key, fields...) of several versions in one long table, from one scan of the texts."""
+    df = df.select(key, text)
+    names = versions or list(VERSIONS)
+    for name in names:
+        df = extract_fields(df, name, text=text).withColumn(f"_{name}", F.struct(F.lit(name).alias("version"), key, *FIELDS)).drop(*FIELDS)
+    return df.select(F.explode(F.array(*[f"_{name}" for name in names])).alias("x")).select("x.*")

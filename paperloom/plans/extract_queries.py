@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import amounts, dates
@@ -9,6 +11,7 @@ from paperloom.functions import text as X
 from paperloom.operators import baseline, candidates, evaluate, regex_fields, template
 from paperloom.operators import patterns as P
 from paperloom.plans import sql as S
+from paperloom.plans import version_sql as V
 from paperloom.plans.base import invoices, raw
 from paperloom.plans.registry import query
 
@@ -228,7 +231,24 @@ def v5_payment_terms(spark, d):
     return invoices(spark, d).select("doc_id", extract(F.col("raw_text"), P.V5_TERMS, 1, "i").alias("terms"))
 
 
-@query()
+def _one_field(name: str) -> Callable:
+    def one(spark, d):
+        return regex_fields.extract_fields(invoices(spark, d)).select("doc_id", name)
+
+    one.__name__ = f"v5_{name}"
+    one.__doc__ = f"{name} of version 5."
+    return one
+
+
+v5_invoice_number = query(V.numbers())(_one_field("invoice_number"))
+v5_invoice_date = query(f"SELECT doc_id, d AS invoice_date FROM ({V.SOURCE}) LEFT JOIN ({V.invoice_dates()}) USING (doc_id)")(_one_field("invoice_date"))
+v5_due_date = query(V.due_dates())(_one_field("due_date"))
+v5_total_amount = query(f"SELECT doc_id, total_amount FROM ({V.SOURCE}) LEFT JOIN ({V.totals()}) USING (doc_id)")(_one_field("total_amount"))
+v5_issuer_name = query(V.issuers())(_one_field("issuer_name"))
+v5_recipient_name = query(V.recipients())(_one_field("recipient_name"))
+
+
+@query(V.record())
 def v5_record(spark, d):
     return regex_fields.extract_fields(invoices(spark, d)).select("doc_id", *regex_fields.FIELDS)
 
@@ -238,12 +258,15 @@ def v5_full_record(spark, d):
     return regex_fields.extract_fields(invoices(spark, d), mode="full").select("doc_id", *regex_fields.FIELDS)
 
 
-@query()
+_MATRIX = " UNION ALL ".join(f"SELECT '{n}' AS version, doc_id, {', '.join(regex_fields.FIELDS)} FROM ({V.record(v)})" for n, v in regex_fields.VERSIONS.items())
+
+
+@query(_MATRIX)
 def version_matrix(spark, d):
     return regex_fields.version_matrix(invoices(spark, d))
 
 
-@query()
+@query(f"SELECT version, count(*) AS docs, {', '.join(f'round(count({f}) / count(*), 4) AS {f}' for f in regex_fields.FIELDS)} FROM ({_MATRIX}) GROUP BY 1")
 def version_coverage(spark, d):
     """Share of documents with each field, by version."""
     m = regex_fields.version_matrix(invoices(spark, d))
