@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import materialize
+from paperloom.session import materialize, release
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # One shortcut: the root of my root.
         up = hook.select(F.col("from").alias("to"), F.col("to").alias("top"))
         hook = materialize(hook.join(up, "to", "left").select("from", F.coalesce("top", "to").alias("to")))
+        old = (left, roots, hook)
         roots = materialize(
             roots.join(hook, roots["component"] == hook["from"], "left").select("node", F.coalesce("to", "component").alias("component"))
         )
@@ -45,4 +46,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         left = materialize(
             renamed.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
+        release(*old)  # written anew, nothing reads them any more
     return roots

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import confusables
 from paperloom.llm.common import components, spread
-from paperloom.session import materialize
+from paperloom.session import materialize, release
 
 # Words beside a name.
 TITLES = "mr mrs ms miss mx dr prof professor sir dame madam messrs herr frau fraulein monsieur madame mme mlle senor senora sr sra sig dott ing rev hon esq jr snr jnr ii iii iv phd md".split()
@@ -508,10 +508,12 @@ def entities(extractions: DataFrame) -> DataFrame:
             if merging.isEmpty():
                 break
         roots = components(merging)
+        old = (owner, profiles, links)
         owner = materialize(
             owner.join(roots, owner["pid"] == roots["node"], "left").select("fid", F.coalesce("component", "pid").alias("pid"))
         )
         profiles = materialize(_merged(profiles, roots))
+        release(*old)
     return names.join(owner, "fid").select("name", F.col("pid").alias("entity"))
 
 

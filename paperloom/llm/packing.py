@@ -10,7 +10,7 @@ The plan is broadcast; its rows are bounded by the capacity (a group is split on
 so there are at most as many groups as sizes, and a container holds at most sqrt(2 x capacity) different
 sizes), not by the data.
 
-Ranks within a size don't gather the size in one task: a size is split into ``SALTS`` parts by a hash of
+Ranks within a size don't gather the size in one task: a size is split into as many parts as its count calls for by a hash of
 the key, parts are counted first, and each part is numbered from the sum of the parts before it.
 
 Defined results: null and empty texts have size 0, take no room and are dealt over the containers in
@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from paperloom.llm import bpe
 from paperloom.session import materialize
 
-SALTS = 64
+#: A size is split into parts of about so many documents, at least ``LEAST_SALTS``.
+ROWS_A_SALT = 1 << 18
+LEAST_SALTS = 64
 
 
 def plan(sizes: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int, int]]], int]:
@@ -92,9 +94,9 @@ def plan(sizes: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int
     return runs, made
 
 
-def _ranked(items: DataFrame) -> DataFrame:
+def _ranked(items: DataFrame, salts: int) -> DataFrame:
     """``rank`` of each row within (spec, size), without one task for a frequent size."""
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     part = Window.partitionBy("capacity", "size", "salt").orderBy("doc_id", "piece")
     before = (
         salted.groupBy("capacity", "size", "salt")
@@ -134,6 +136,8 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str | None = None) -> Da
     for r in sized.groupBy("capacity", "size").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect():
         histogram[r.capacity][r.size] = r.n
         full[r.capacity] += r.full
+    most = max((n for sizes in histogram.values() for n in sizes.values()), default=0)
+    salts = max(LEAST_SALTS, -(-most // ROWS_A_SALT))
     tables, made = {}, {}
     for c in wanted:
         runs, made[c] = plan({s: n for s, n in histogram[c].items() if s}, c)
@@ -143,7 +147,7 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str | None = None) -> Da
 
     # An exact multiple of the capacity has no remainder; a text without tokens is one item of size 0.
     remainders = sized.filter((F.col("size") > 0) | (F.col("full") == 0)).withColumn("piece", F.col("full"))
-    ranked = _ranked(remainders).select("doc_id", "capacity", "piece", "size", "rank")
+    ranked = _ranked(remainders, salts).select("doc_id", "capacity", "piece", "size", "rank")
     schema = T.StructType(
         [
             ranked.schema["doc_id"],
@@ -180,7 +184,7 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str | None = None) -> Da
 
     placed = ranked.mapInArrow(place, schema)
     # Full pieces are numbered after the planned containers; salted prefix sums as for the ranks.
-    big = sized.filter(F.col("full") > 0).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    big = sized.filter(F.col("full") > 0).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     before = (
         big.groupBy("capacity", "salt")
         .agg(F.sum("full").alias("n"))

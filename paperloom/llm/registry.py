@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.session import table
+from paperloom.session import distinct_rows, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each captured document with placeholders for personal information."""
     from paperloom.llm import pii
 
-    return pii.redacted(table(spark, sf_dir, "raw_documents").select("doc_id", "raw_text").distinct())
+    return pii.redacted(distinct_rows(table(spark, sf_dir, "raw_documents").select("doc_id", "raw_text")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired text of each captured document."""
     from paperloom.llm import scans
 
-    return scans.repaired(table(spark, sf_dir, "raw_documents").select("doc_id", "raw_text").distinct())
+    return scans.repaired(distinct_rows(table(spark, sf_dir, "raw_documents").select("doc_id", "raw_text")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
