@@ -51,7 +51,7 @@ def ranked(df: DataFrame, group: list[str], seed: int, key: str = "doc_id", name
     """Adds the rank, from 0, within ``group`` in the order of a seeded hash of ``key``, and the group's size."""
     h = hash_key(F.lit(str(seed)), F.col(key).cast("string"))
     df = df.withColumn("_h", h)
-    return running_index(df, group, ["_h", key], F.substring("_h", 1, 2), name).drop("_h")
+    return running_index(df, group, ["_h", key], F.substring("_h", 1, 4), name).drop("_h")
 
 
 def running_index(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str = "rank") -> DataFrame:

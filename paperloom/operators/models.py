@@ -177,11 +177,15 @@ def top_terms(df: DataFrame, per_class: int = 10, min_df: int = 2, max_df: float
 
     Terms are kept by document frequency and bounded by total count; ties go by term.
     """
-    docs = df.select("doc_id", grouped, "grams").filter(F.col(grouped).isNotNull())
+    # Written once: exploding an array that is still an expression computes it several times.
+    docs = materialize(df.select("doc_id", grouped, "grams").filter(F.col(grouped).isNotNull()))
     sizes = docs.groupBy(grouped).agg(F.count("*").alias("docs"))
     n = sizes.agg(F.sum("docs")).first()[0] or 0
-    # Read for the frequencies, the norms and the means: counted once.
-    tf = materialize(docs.select("doc_id", grouped, F.explode("grams").alias("term")).groupBy("doc_id", grouped, "term").agg(F.count("*").alias("tf")))
+    # Read for the frequencies, the norms and the means: counted once. Documents are dealt out whole, so that their
+    # grams are counted where they are and not shuffled one by one; in a stated number of parts, which adaptive
+    # execution would make too few of, as it sees the arrays' size and not the work of exploding them.
+    parts = max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
+    tf = materialize(docs.repartition(parts, "doc_id").select("doc_id", grouped, F.explode("grams").alias("term")).groupBy("doc_id", grouped, "term").agg(F.count("*").alias("tf")))
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     kept = frequency.orderBy(F.desc("cf"), "term").limit(size).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
     raw = tf.join(F.broadcast(kept.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))

@@ -65,12 +65,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    Only an input of fewer partitions (one small file) is shuffled, so that work on long texts does not run in one
+    task; a large input keeps its scan partitions and costs no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def distinct_rows(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``df`` without repeated rows, for tables with long texts of which few rows are repeated.
 
     Only hashes of all rows are shuffled, and whole those rows that share their hash with another one. Where more
     than ``max_rows`` hashes are shared, all rows are shuffled as ``distinct`` does.
     """
+    df = spread(df)
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     shared = df.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
     shared = materialize(shared)
