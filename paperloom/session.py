@@ -83,10 +83,11 @@ def distinct_rows(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     df = spread(df)
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    shared = df.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
-    shared = materialize(shared)
+    name = "_" * (1 + max(map(len, df.columns), default=0))  # longer than any column's name
+    counts = df.select(h.alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    shared = materialize(counts.filter("n > 1").select(name))
     if shared.limit(max_rows + 1).count() > max_rows:
         return df.distinct()
-    tagged, shared = df.withColumn("_h", h), F.broadcast(shared)
-    once = tagged.join(shared, "_h", "left_anti").drop("_h")
-    return once.union(tagged.join(shared, "_h", "left_semi").drop("_h").distinct())
+    tagged, shared = df.withColumn(name, h), F.broadcast(shared)
+    once = tagged.join(shared, name, "left_anti").drop(name)
+    return once.union(tagged.join(shared, name, "left_semi").drop(name).distinct())
