@@ -96,11 +96,11 @@ class Svd:
         return df.withColumn("reduced", array_to_vector(project(vector_to_array("features"))))
 
 
-def classifiers(n: int, seed: int = 42) -> dict:
+def classifiers(n: int, seed: int = 42, svm_iterations: int = 2000) -> dict:
     """Estimators by name, for ``n`` training rows."""
     lr = lambda col: LogisticRegression(family="multinomial", featuresCol=col, regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
     rf = lambda col: RandomForestClassifier(featuresCol=col, numTrees=100, seed=seed)
-    svm = lambda col: OneVsRest(featuresCol=col, classifier=LinearSVC(featuresCol=col, regParam=1.0 / max(n, 1), maxIter=2000))
+    svm = lambda col: OneVsRest(featuresCol=col, classifier=LinearSVC(featuresCol=col, regParam=1.0 / max(n, 1), maxIter=svm_iterations, tol=1e-4))
     nb = NaiveBayes(featuresCol="features", modelType="multinomial", smoothing=1.0)
     plain = {"LogisticRegression": lr("features"), "RandomForest": rf("features"), "LinearSVM": svm("features"), "MultinomialNB": nb}
     return {**plain, **{f"{m}-{r}": f("reduced") for r in ("PCA", "SVD") for m, f in (("LR", lr), ("RF", rf), ("SVM", svm))}}
@@ -127,7 +127,7 @@ def predict(model, df: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumn("confidence", F.create_map("predicted_class", F.lit(1.0)))
 
 
-def compare(train: DataFrame, held: DataFrame, names: list[str], only: list[str] | None = None, k: int = 150) -> DataFrame:
+def compare(train: DataFrame, held: DataFrame, names: list[str], only: list[str] | None = None, k: int = 150, svm_iterations: int = 2000) -> DataFrame:
     """(model, accuracy, macro_f1, weighted_f1, train_time_s): every configuration on the held rows."""
     spark = train.sparkSession
     n = train.count()
@@ -136,7 +136,7 @@ def compare(train: DataFrame, held: DataFrame, names: list[str], only: list[str]
     k = min(k, width - 1, n - 1)
     reducers = {}
     out = None
-    for name, estimator in classifiers(n).items():
+    for name, estimator in classifiers(n, svm_iterations=svm_iterations).items():
         if only and name not in only:
             continue
         a, b = train, held
