@@ -317,6 +317,5 @@ def rows_total(rows: DataFrame, key: str = "file_stem") -> DataFrame:
     cents = F.transform(F.regexp_extract_all("text", F.lit(r"((?<!\d)(?:[$€£¥]\s*)?\d{1,6}[.,]\d{2}(?!\d))"), F.lit(1)), lambda x: amounts.normalise_v5(x).cast("double"))
     low = r.filter(F.col("top") >= F.col("max_top") * 0.60).select(key, F.explode(cents).alias("v")).filter("v >= 1 AND v < 1000000")
     second = low.groupBy(key).agg(F.max("v").alias("v"))
-    return page.select(key).join(first, key, "left").join(second, key, "left").select(key, F.format_string("%.2f", F.coalesce("best.a", "v")).alias("total_amount")).filter(
-        F.col("total_amount") != "null"
-    )
+    found = page.select(key).join(first, key, "left").join(second, key, "left").select(key, F.coalesce("best.a", "v").alias("a"))
+    return found.filter("a IS NOT NULL").select(key, F.format_string("%.2f", "a").alias("total_amount"))  # %.2f makes "nu" of null

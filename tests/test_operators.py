@@ -225,6 +225,20 @@ def test_fields_from_rows(spark):
     assert rows.recipient(r.limit(0)).count() == 0
 
 
+def test_rows_without_an_amount(spark):
+    """A document without amounts has no total (a null in %.2f isn't written out), so its text can be completed too."""
+    from paperloom.operators import regex_fields, rows
+
+    r = spark.createDataFrame(
+        [("a", 0, 0, 5, "Total due now"), ("a", 1, 50, 5, "no figures"), ("b", 0, 0, 5, "Total 12.50"), ("c", 0, 0, 5, "nothing here")],
+        "file_stem string, line_idx int, top int, left int, text string",
+    )
+    assert [tuple(x) for x in layout.rows_total(r).collect()] == [("b", "12.50")]
+    df = spark.createDataFrame([("a", "Total amount due $45.00"), ("b", "Total amount due $3.00"), ("c", "hello there")], "file_stem string, raw_text string")
+    got = {x.file_stem: x.total_amount for x in rows.rescue(regex_fields.extract_fields(df), r).collect()}
+    assert got == {"a": "45.00", "b": "12.50", "c": None}
+
+
 def test_tfidf_by_hand(spark):
     from math import log
 
