@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.match import MATCHERS
+from paperloom.session import computed_once
 
 
 def unpivot(df: DataFrame, fields: Sequence[str], value: str, key: str = "doc_id") -> DataFrame:
@@ -122,6 +123,11 @@ def confusion_pairs(df: DataFrame, n: int = 10, label: str = "label", predicted:
     return counts.filter("true_class <> predicted_class").orderBy(F.desc("n"), "true_class", "predicted_class").limit(n)
 
 
+def misclassified(df: DataFrame, label: str = "label", predicted: str = "predicted_class") -> DataFrame:
+    """The rows whose prediction isn't their label; null labels are left out."""
+    return computed_once(df).filter(F.col(label) != F.col(predicted))
+
+
 def doc_top1(df: DataFrame, score: str, gold: str, group: str = "doc_id", order: str = "line_idx") -> DataFrame:
     """(docs, hits, accuracy): is the best-scored row a positive, over the groups that have one."""
     best = df.groupBy(group).agg(F.max(F.struct(F.col(score), (-F.col(order)).alias("o"), F.col(gold).alias("g"))).alias("b"), F.max(gold).alias("any"))

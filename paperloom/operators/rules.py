@@ -5,7 +5,10 @@ A rule table is data; engines differ in nothing but their rows. All combinators
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from re import _constants as op
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,11 +34,49 @@ def first_matching(text: Column, patterns: Sequence[str], then: Callable[[Column
     return out
 
 
+def _longest(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    """The set whose shortest literal is longer, the smaller one on ties."""
+    return max((x for x in (a, b) if x), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _required(items) -> set[str] | None:
+    best, run = None, ""
+    for what, x in [*items, (None, None)]:
+        if what is op.LITERAL:
+            run += chr(x)
+            continue
+        best, run = _longest(best, {run} if run else None), ""
+        if what is op.SUBPATTERN and not x[1] & re.IGNORECASE:
+            best = _longest(best, _required(x[3]))
+        elif what is op.BRANCH:
+            parts = [_required(y) for y in x[1]]
+            best = _longest(best, set().union(*parts) if all(parts) else None)
+        elif what in (op.MAX_REPEAT, op.MIN_REPEAT) and x[0] > 0:
+            one = len(x[2]) == 1 and x[2][0][0] is op.LITERAL
+            best = _longest(best, {chr(x[2][0][1]) * x[0]} if one else _required(x[2]))
+    return best
+
+
+def required(pattern: str) -> list[str]:
+    """Literals of which each match of the case-sensitive pattern holds at least one; none if that isn't known."""
+    try:
+        tree = _parser.parse(pattern)
+    except re.error:
+        return []
+    return [] if tree.state.flags & re.IGNORECASE else sorted(_required(tree) or [])
+
+
 def weighted_count(text: Column, rules: Sequence[tuple[str, int]]) -> Column:
-    """Sum of matches times weights."""
+    """Sum of matches times weights. A pattern is only searched in texts with one of the literals that it requires."""
     total = F.lit(0)
     for pattern, weight in rules:
-        total = total + count_of(text, pattern) * weight
+        n = count_of(text, pattern)
+        if literals := required(pattern):
+            there = text.contains(literals[0])
+            for x in literals[1:]:
+                there = there | text.contains(x)
+            n = F.when(there, n).otherwise(0)
+        total = total + n * weight
     return total
 
 

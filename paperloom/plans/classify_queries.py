@@ -125,5 +125,5 @@ def confusion_pairs(spark, d):
 
 @query(f"SELECT doc_id, label, predicted_class, substring(t, 1, 80) AS snippet FROM ({_KEYWORD}) WHERE label <> predicted_class")
 def misclassified(spark, d):
-    df = classify.keyword_classify(raw(spark, d)).filter("label <> predicted_class")
-    return df.select("doc_id", "label", "predicted_class", F.substring(F.lower(F.coalesce("raw_text", F.lit(""))), 1, 80).alias("snippet"))
+    df = classify.keyword_classify(raw(spark, d))
+    return evaluate.misclassified(df.select("doc_id", "label", "predicted_class", F.substring(F.lower(F.coalesce("raw_text", F.lit(""))), 1, 80).alias("snippet")))

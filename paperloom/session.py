@@ -75,6 +75,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns as they are, which later filters and expressions no longer look into.
+
+    A filter on a computed column is otherwise moved towards the scan and what it computes repeated there for each use
+    of it. The columns pass through a generator of one row, which nothing that uses them is moved below.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.array(row)))
+
+
 def distinct_rows(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``df`` without repeated rows, for tables with long texts of which few rows are repeated.
 

@@ -239,6 +239,29 @@ def test_rows_without_an_amount(spark):
     assert got == {"a": "45.00", "b": "12.50", "c": None}
 
 
+def test_classes_are_predicted_once(spark):
+    """Filters on the class don't move into the scan, where each use of a score would search the text again."""
+    df = docs(spark, "Invoice no 7", "Invoice no 8", "From: a", None).withColumn("label", F.expr("CASE doc_id WHEN 'd0' THEN 'invoice' WHEN 'd1' THEN 'email' WHEN 'd2' THEN 'form' END"))
+    scored = classify.keyword_classify(df)
+    searches = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    once = searches(scored.select("predicted_class"))
+    wrong = evaluate.misclassified(scored.select("doc_id", "label", "predicted_class"))
+    assert {tuple(r) for r in wrong.collect()} == {("d1", "email", "invoice"), ("d2", "form", "email")} and searches(wrong) == once
+
+
+def test_required_literals(spark):
+    from paperloom.functions.text import count_of
+    from paperloom.operators import patterns, rules
+
+    assert rules.required(r"\b(from|to|cc|bcc)\s*:") == ["bcc", "cc", "from", "to"] and rules.required(r"_{3,}|\[[\s]*\]") == ["[", "___"]
+    assert rules.required(r"\b(qty|quantity)\b") == ["ty", "uantity"] and rules.required(r"\d{2}:?") == rules.required("(?i)bill") == rules.required(r"(a|\d)b?") == rules.required(r"\p{L}x") == []
+    every = [x for k in patterns.KEYWORDS.values() for x in k]
+    bits = ["to :", "re:", "a@b.de", "please\u00a0sign", "check one", "part 7", "____", "[ ]", "invoice #", "net 30", "store #", "qty", "quantity", "tax", "12/12/99 10:10", "tobcc", "İnvoice", "social security"]
+    df = docs(spark, *bits, " ".join(bits), "", None)
+    r = df.select(*[(count_of(F.col("raw_text"), p) * w - rules.weighted_count(F.col("raw_text"), [(p, w)])).alias(f"d{i}") for i, (p, w) in enumerate(every)]).collect()
+    assert all(v == 0 for x in r for v in x)
+
+
 def test_tfidf_by_hand(spark):
     from math import log
 
