@@ -119,7 +119,9 @@ def averages(matrix: DataFrame) -> DataFrame:
 
 def confusion_pairs(df: DataFrame, n: int = 10, label: str = "label", predicted: str = "predicted_class") -> DataFrame:
     """The ``n`` most frequent mistakes."""
-    counts = df.groupBy(F.col(label).alias("true_class"), F.col(predicted).alias("predicted_class")).agg(F.count("*").alias("n"))
+    # Counted once for all rows: the counts are a few rows, the prediction may be costly.
+    pairs = computed_once(df.select(F.col(label).alias("true_class"), F.col(predicted).alias("predicted_class")))
+    counts = pairs.groupBy("true_class", "predicted_class").agg(F.count("*").alias("n"))
     return counts.filter("true_class <> predicted_class").orderBy(F.desc("n"), "true_class", "predicted_class").limit(n)
 
 

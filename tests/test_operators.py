@@ -247,6 +247,8 @@ def test_classes_are_predicted_once(spark):
     once = searches(scored.select("predicted_class"))
     wrong = evaluate.misclassified(scored.select("doc_id", "label", "predicted_class"))
     assert {tuple(r) for r in wrong.collect()} == {("d1", "email", "invoice"), ("d2", "form", "email")} and searches(wrong) == once
+    pairs = evaluate.confusion_pairs(scored)
+    assert [tuple(r) for r in pairs.collect()] == [("email", "invoice", 1), ("form", "email", 1)] and searches(pairs) == once
 
 
 def test_required_literals(spark):
