@@ -26,7 +26,9 @@ splits counts in each; texts are compared whole; texts of fewer than three words
 
 from __future__ import annotations
 
+import itertools
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +44,7 @@ from paperloom.session import broadcast_if_small, materialize
 KEYED = 12  # words of a suffix that are sorted word by word; what follows is sorted by hashes
 LEVELS = (16, 24, 48)  # ends of the hashed stretches, the last one being the whole rest
 DENSE = 64
+GROUP_WORDS = 1 << 16  # words whose suffixes are computed together
 MIN_LCP, MIN_LCP_SHORT = 5, 3
 NOMINATE = 0.05
 DRIFT = 3
@@ -49,27 +52,29 @@ SPAN = 3
 COVERED = 0.8
 GOLD_BROADCAST_ROWS = 500_000
 
-_BROKEN = re.compile(r"(?<=\w)[-\xad\xac‐‑]\s*\n\s*(?=\w)")
+# The mark first, the letter before it next: the engine searches for marks instead of looking back at every place.
+_BROKEN = re.compile(r"[-\xad\xac‐‑](?<=\w[-\xad\xac‐‑])\s*\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 # Characters and groups that scanning confuses, folded into one of them.
-_FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "8": "b", "6": "b", "@": "a", "+": "t"})
+# One replacement after the other (a table for ``translate`` is looked up for every character of texts beyond ASCII).
+_FOLD = [("0", "o"), ("1", "l"), ("i", "l"), ("|", "l"), ("!", "l"), ("5", "s"), ("8", "b"), ("6", "b"), ("@", "a"), ("+", "t")]
 _GROUPS = [("rn", "m"), ("ll", "u"), ("cl", "d"), ("vv", "w"), ("c", "e")]
 
 
 def fold_words(text: str) -> list[str]:
-    text = _BROKEN.sub("", text.lower()).translate(_FOLD)
-    for a, b in _GROUPS:
+    text = _BROKEN.sub("", text.lower())
+    for a, b in (*_FOLD, *_GROUPS):
         text = text.replace(a, b)
     return _WORD.findall(text)
 
 
 class _Hashes(dict):
-    """Word to 16 bits, cached."""
+    """Word to the two bytes of its hash, cached."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 1_000_000:
             self.clear()
-        h = self[word] = zlib.crc32(word.encode()) & 0xFFFF
+        h = self[word] = (zlib.crc32(word.encode()) & 0xFFFF).to_bytes(2, sys.byteorder)
         return h
 
 
@@ -82,12 +87,9 @@ def sequences(records: DataFrame, keep: list[str], text: str) -> DataFrame:
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("words", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _HASHES
+        hashed = _HASHES.__getitem__
         for batch in batches:
-            out = []
-            for t in batch.column(len(keep)).to_pylist():
-                words = fold_words(t)
-                out.append(np.fromiter((hashes[w] for w in words), np.uint16, len(words)).tobytes())
+            out = [b"".join(map(hashed, fold_words(t))) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -101,24 +103,52 @@ _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Every position of a short text; else those whose trigram hash is less than two neighbours' to each side, and the first."""
-    n = len(words)
-    if n < DENSE:
-        return np.arange(max(n - MIN_LCP_SHORT + 1, min(n, 1)))
+def laid_out(records: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of many records in one array, zeros between them, and where each begins and ends."""
+    length = np.array([len(r) // 2 for r in records], np.int64)
+    begin = np.cumsum(length + KEYED) - length - KEYED
+    return np.frombuffer(bytes(2 * KEYED).join(records), np.uint16), begin, begin + length
+
+
+def _within(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each place is in one of the disjoint intervals."""
+    step = np.zeros(size + 1, np.int8)
+    np.add.at(step, lo, 1)
+    np.add.at(step, hi, -1)
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
+def anchors(words: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    """Every position of a short text; else those whose trigram hash is less than two neighbours' to each side, and the first.
+
+    ``words`` is one text, or many as ``laid_out`` has them.
+    """
+    size = len(words)
+    if begin is None or end is None:
+        begin, end = np.zeros(1, np.int64), np.array([size])
     w = np.concatenate([words, np.zeros(2, np.uint16)]).astype(np.uint64)
     h = (w[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (w[2:] * np.uint64(0x165667B19E3779F9))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    top = np.full(2, np.iinfo(np.uint64).max, np.uint64)
-    p = np.concatenate([top, h, top])
-    ok = (h < p[1 : n + 1]) & (h < p[:n]) & (h <= p[3 : n + 3]) & (h <= p[4 : n + 4])
-    ok[0] = True
+    top = np.iinfo(np.uint64).max
+    p = np.full(size + 4, top)
+    p[2:-2] = np.where(_within(size, begin, end), h, top)
+    h = p[2:-2]
+    ok = (h < p[1:-3]) & (h < p[:-4]) & (h <= p[3:-1]) & (h <= p[4:])
+    long = end - begin >= DENSE
+    ok[begin[long]] = True
+    begin, end = begin[~long], end[~long]
+    ok &= ~_within(size, begin, end)
+    ok |= _within(size, begin, begin + np.maximum(end - begin - MIN_LCP_SHORT + 1, np.minimum(end - begin, 1)))
     return np.flatnonzero(ok)
 
 
-def keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(suffixes, 4): the next twelve words packed so that order is word by word, and the hashes of what follows."""
+def keys(words: np.ndarray, at: np.ndarray, end: np.ndarray | None = None) -> np.ndarray:
+    """(suffixes, 4): the next twelve words packed so that order is word by word, and the hashes of what follows.
+
+    ``end`` is where the text of each suffix ends, if ``words`` has many texts as ``laid_out`` has them.
+    """
     n = len(words)
+    end = np.full(len(at), n) if end is None else end
     padded = np.concatenate([words, np.zeros(KEYED, np.uint16)]).astype(np.int64)
     part = padded[at[:, None] + np.arange(KEYED)].reshape(len(at), 3, 4)
     packed = ((part[:, :, 0] - 0x8000) << 48) | part[:, :, 1] << 32 | part[:, :, 2] << 16 | part[:, :, 3]
@@ -126,28 +156,33 @@ def keys(words: np.ndarray, at: np.ndarray) -> np.ndarray:
         powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _PRIME, np.uint64)]))
         inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64)]))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((words.astype(np.uint64) + np.uint64(1)) * powers[:n])])
-        begin = np.minimum(at + KEYED, n)
+        begin = np.minimum(at + KEYED, end)
         k4 = np.zeros(len(at), np.uint64)
         for far in (*LEVELS, n):
-            h = (sums[np.minimum(at + far, n)] - sums[begin]) * inverse[begin]
+            h = (sums[np.minimum(at + far, end)] - sums[begin]) * inverse[begin]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             k4 = k4 << np.uint64(16) | h >> np.uint64(48)
     return np.column_stack([packed, k4.view(np.int64)])
 
 
+def suffix_rows(ids: np.ndarray, records: list[bytes]) -> np.ndarray:
+    """The rows of ``_SUFFIX`` of many records, computed together."""
+    words, begin, end = laid_out(records)
+    at = anchors(words, begin, end)
+    of = np.searchsorted(begin, at, "right") - 1
+    return np.column_stack([keys(words, at, end[of]), ids[of], (at - begin[of]) << 32 | (end - begin)[of]])
+
+
 def suffixes(reps: DataFrame) -> DataFrame:
     """One row for each suffix of ``reps`` (rec, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rec, raw in zip(ids, batch.column(1).to_pylist()):
-                w = np.frombuffer(raw, np.uint16)
-                at = anchors(w)
-                parts.append(np.column_stack([keys(w, at), np.full(len(at), rec, np.int64), at << 32 | len(w)]))
-            if parts:
-                rows = np.concatenate(parts)
+            ids, records = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            # Groups of about so many words, so that memory stays small; only a longer record makes a larger group.
+            group = np.cumsum([len(r) // 2 for r in records]) // GROUP_WORDS
+            for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(records)]):
+                rows = suffix_rows(ids[lo:hi], records[lo:hi])
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(6)], names=_SUFFIX.names)
 
     return reps.select("rec", "words").mapInArrow(run, _SUFFIX)
@@ -252,8 +287,11 @@ def nominated(span_rows: DataFrame, share: float = NOMINATE) -> DataFrame:
 # Coverage ----------------------------------------------------------------------------------------------------
 
 
-def extend(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> tuple[float, int, int]:
-    """Coverage of the shorter sequence by merged spans on the diagonals (place in b - place in a): share, spans, longest span."""
+def extend(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """Coverage of the shorter sequence by merged spans on the diagonals (place in b - place in a): share, spans, longest span.
+
+    Spans aren't told apart where the share is below ``least``: (share, 0, 0).
+    """
     if len(a) > len(b):
         a, b, diagonals = b, a, -diagonals
     if len(a) < SPAN:
@@ -261,17 +299,20 @@ def extend(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> tuple[float,
         return float(same), int(same), len(a) * same
     near = np.unique((diagonals[:, None] + np.arange(-DRIFT, DRIFT + 1)).ravel())
     near = near[(near > -len(a)) & (near < len(b))]
-    place = near[:, None] + np.arange(len(a))
-    inside = (place >= 0) & (place < len(b))
-    hit = (b[np.where(inside, place, 0)] == a) & inside
+    around = np.full(len(b) + 2 * len(a), -1, np.int32)  # what is no word, to either side of b
+    around[len(a) : len(a) + len(b)] = b
+    hit = around[near[:, None] + np.arange(len(a), 2 * len(a))] == a
     run = hit[:, :-2] & hit[:, 1:-1] & hit[:, 2:]
     begins = run.any(0)
     covered = np.zeros(len(a), bool)
     for k in range(SPAN):
         covered[k : len(a) - SPAN + 1 + k] |= begins
+    share = np.count_nonzero(covered) / len(a)
+    if share < least:
+        return share, 0, 0
     edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
     length = np.flatnonzero(edge < 0) - np.flatnonzero(edge > 0)
-    return float(covered.mean()), len(length), int(length.max(initial=0))
+    return share, len(length), int(length.max(initial=0))
 
 
 def links(candidates: DataFrame, reps: DataFrame, least: float = COVERED) -> DataFrame:
@@ -289,7 +330,7 @@ def links(candidates: DataFrame, reps: DataFrame, least: float = COVERED) -> Dat
             lists = batch.column(2)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             done = [
-                extend(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), flat[lo:hi])
+                extend(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), flat[lo:hi], least)
                 for x, y, lo, hi in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), ends, ends[1:])
             ]
             share = np.array([d[0] for d in done])

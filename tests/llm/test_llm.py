@@ -3,6 +3,9 @@
 import datetime
 import itertools
 import random
+import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -294,6 +297,95 @@ def test_common_prefix_goes_on_past_the_keyed_words():
         assert got <= equal and got == max([n for n in (*range(13), *overlap.LEVELS, 300) if n <= equal])
 
 
+def test_overlap_folds_as_a_table_character_by_character():
+    table = {"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "8": "b", "6": "b", "@": "a", "+": "t"}
+
+    def naive(text):
+        text = re.sub(r"(?<=\w)[-\xad\xac‐‑]\s*\n\s*(?=\w)", "", text.lower())
+        text = "".join(table.get(c, c) for c in text)
+        for a, b in (("rn", "m"), ("ll", "u"), ("cl", "d"), ("vv", "w"), ("c", "e")):
+            text = text.replace(a, b)
+        return re.findall(r"[^\W_]+", text)
+
+    rng = random.Random(6)
+    odd = ["a-\nb", "-\nb", "a--\nb", "a-\n", "_-\n_", "İ-\nx", "ΟΔΟΣ-\nΣ", "é-\n\n é‐ \nz", "1l1|", "clc", "rnrn", "", " "]
+    odd += ["".join(rng.choice("aAcClLrRnNvViI015|!86@+-­‐\n\t _.éßİΣ日½²") for _ in range(60)) for _ in range(500)]
+    for text in odd:
+        words = naive(text)
+        assert overlap.fold_words(text) == words
+        assert b"".join(map(overlap._HASHES.__getitem__, words)) == np.array([zlib.crc32(w.encode()) & 0xFFFF for w in words], np.uint16).tobytes()
+
+
+def _cpu(f):
+    """Least CPU seconds of five calls."""
+    took = []
+    for _ in range(5):
+        began = time.process_time()
+        f()
+        took.append(time.process_time() - began)
+    return min(took)
+
+
+def test_overlap_folds_texts_beyond_ascii_as_fast():
+    plain = [_page(random.Random(i), 300) for i in range(100)]
+    dashed = [t + " – €" for t in plain]  # one sign beyond ASCII, as in most captured texts
+    assert _cpu(lambda: [overlap.fold_words(t) for t in dashed]) < 2 * _cpu(lambda: [overlap.fold_words(t) for t in plain])
+
+
+def test_overlap_suffixes_of_many_records_together_equal_one_at_a_time():
+    rng = random.Random(9)
+    lengths = [0, 1, 2, 3, 4, 11, 12, 13, 62, 63, 64, 65, 66, 300, 0, 5, 2000, 64, 1] + [rng.randint(0, 130) for _ in range(400)]
+    seqs = [_words(rng, n, rng.choice((2, 5, 4000))) for n in lengths]
+    ids = np.array([rng.getrandbits(63) - (1 << 62) for _ in seqs], np.int64)
+    rows = overlap.suffix_rows(ids, [s.tobytes() for s in seqs])
+    one = [np.column_stack([overlap.keys(s, at := overlap.anchors(s)), np.full(len(at), i), at << 32 | len(s)]) for i, s in zip(ids, seqs)]
+    assert np.array_equal(rows, np.concatenate(one))
+    for s in seqs:  # positions by the definition
+        h = [(int(a) * 0x9E3779B97F4A7C15 ^ int(b) * 0xC2B2AE3D27D4EB4F ^ int(c) * 0x165667B19E3779F9) % 2**64 for a, b, c in zip(s, [*s[1:], 0], [*s[2:], 0, 0])]
+        h = [(x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64 for x in h]
+        if len(s) < overlap.DENSE:
+            want = list(range(max(len(s) - 2, min(len(s), 1))))
+        else:
+            want = [i for i in range(len(h)) if i == 0 or all(h[i] < x for x in h[max(0, i - 2) : i]) and all(h[i] <= x for x in h[i + 1 : i + 3])]
+        assert overlap.anchors(s).tolist() == want
+    assert overlap.suffix_rows(np.empty(0, np.int64), []).shape == (0, 6)
+
+
+def test_overlap_suffixes_cost_little_a_record():
+    rng = random.Random(10)
+    seqs = [_words(rng, 40) for _ in range(1000)]
+    ids, raw = np.arange(1000), [s.tobytes() for s in seqs]
+    one = _cpu(lambda: [overlap.keys(s, overlap.anchors(s)) for s in seqs])
+    assert 3 * _cpu(lambda: overlap.suffix_rows(ids, raw)) < one
+
+
+def test_overlap_groups_of_records_lose_none(spark):
+    """Records longer than a group, shorter ones after them, and as many rows as without groups."""
+    rng = random.Random(11)
+    seqs = [_words(rng, n) for n in (70_000, 3, 40_000, 40_000, 140_000, 5, 90)]
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(seqs)], "rec long, words binary").coalesce(1)
+    got = sorted(map(tuple, overlap.suffixes(reps).collect()))
+    assert got == sorted(map(tuple, overlap.suffix_rows(np.arange(len(seqs)), [s.tobytes() for s in seqs]).tolist()))
+
+
+def test_overlap_extends_as_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = (_words(rng, rng.randint(3, 40), 3) for _ in range(2))
+        if len(a) > len(b):
+            a, b = b, a
+        diagonals = np.array([rng.randint(-len(a), len(b)) for _ in range(rng.randint(1, 3))])
+        covered = set()
+        for d in {d + k for d in diagonals.tolist() for k in range(-overlap.DRIFT, overlap.DRIFT + 1)}:
+            for i in range(len(a) - 2):
+                if all(0 <= i + d + k < len(b) and a[i + k] == b[i + d + k] for k in range(3)):
+                    covered |= {i, i + 1, i + 2}
+        runs = "".join("x" if i in covered else " " for i in range(len(a))).split()
+        want = (len(covered) / len(a), len(runs), max(map(len, runs), default=0))
+        assert overlap.extend(a, b, diagonals) == want
+        assert overlap.extend(a, b, diagonals, 0.8) == (want if want[0] >= 0.8 else (want[0], 0, 0))
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(1, 1), (5, None)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 301 + i) for i in range(30)]
